@@ -9,12 +9,12 @@ from .shared import WorkArea
 
 
 def components(edges: DataFrame, area: WorkArea, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """(node, label) for the nodes of ``edges`` (a, b): the label is the smallest node of the component.
+    """(node, label) for the nodes of ``edges`` (a, b), a written table: the label is the smallest node of the component.
 
     Each round takes the least label among neighbours and then the label's label, so a chain halves.
     A round is written down before the next; minimums are combined before they are exchanged.
     """
-    both = area.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = area.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-0")
     for k in range(1, most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -22,10 +22,9 @@ def components(edges: DataFrame, area: WorkArea, name: str = "cc", most_rounds:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
         new = area.table(jumped, f"{name}-{k}")
-        changed = not new.where("old <> label").isEmpty()
+        changed = new.agg(F.count_if(F.col("old") != F.col("label"))).first()[0]
         area.drop(f"{name}-{k - 1}")
         labels = new.select("node", "label")
         if not changed:
-            area.drop(f"{name}-edges")
             return labels
     raise RuntimeError("components did not settle")

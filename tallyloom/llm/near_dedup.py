@@ -5,9 +5,9 @@ Equal sets become one class first. Independent trees then branch the classes: at
 the sketch's coordinates are chosen by a hash of the path, and a class goes to the child named by its
 minwise token there. Two sets of similarity s stay together at a coordinate with probability s.
 
-Each level first compares every member of a node with the node's pivot, and links that hold on the full sets join
-components. Nodes all of whose members are in one component are done: more comparisons could not link anything
-new. That ends large groups of copies after a level or two with one comparison a member. Of the rest,
+Every level compares each member of a node with the node's pivot, the first before anything else; links that hold on
+the full sets join components. Nodes all of whose members are in one component are done: more comparisons could not link
+anything new. That ends large groups of copies with one comparison a member. Of the rest,
 nodes of at most ``leaf`` members are compared exhaustively by sketch, except pairs already connected, and larger
 ones branch on. Nodes still large at the last level are compared exhaustively in blocks. Candidates
 are pairs whose sketches agree in 32 of 64 coordinates or more; every candidate is confirmed on the full sets.
@@ -218,7 +218,7 @@ class _Join:
             candidates = candidates.join(self.tested, ["a", "b"], "left_anti")
         candidates = area.table(candidates, f"candidates-{k}")
         self.tested = candidates if self.tested is None else self.tested.unionByName(candidates)
-        if candidates.isEmpty():
+        if not candidates.agg(F.count(F.lit(1))).first()[0]:
             return False
         ids = candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         known = self.classes.join(ids, "set_id").select("id", "set_id", "nulls")
@@ -230,7 +230,7 @@ class _Join:
         pairs = candidates.join(sets.toDF("a", "u"), "a").join(sets.toDF("b", "v"), "b").select("a", "b", "u", "v")
         links = area.table(pairs.mapInArrow(_confirm(self.percent), "a long, b long"), f"links-{k}")
         area.drop(f"sets-{k}")
-        if links.isEmpty():
+        if not links.agg(F.count(F.lit(1))).first()[0]:
             return False
         self.links = links if self.links is None else self.links.unionByName(links)
         return True
@@ -256,20 +256,23 @@ def link_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     for level in range(depth):
         opened = area.table(run.open_nodes(placed, labels), f"open-{level}")
         star = opened.where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-        if run.confirm(run.near_by_sketch(star)):
-            labels = run.labels()
-            opened = area.table(run.open_nodes(opened.select("node", "set_id"), labels), f"still-{level}")
+        star = run.near_by_sketch(star)
+        if level == 0:  # most groups end here, before anything is compared exhaustively
+            if run.confirm(star):
+                labels = run.labels()
+                opened = area.table(run.open_nodes(opened.select("node", "set_id"), labels), f"still-{level}")
+            star = None
         small = opened.where(F.col("n") <= leaf).select("node", "set_id", "label").join(sketches, "set_id")
         small = small.select("node", "set_id", "label", "sketch", F.lit(-1).alias("side"))
-        compared = small.repartition("node").sortWithinPartitions("node").mapInArrow(_by_node, "a long, b long").distinct()
+        compared = small.repartition("node").sortWithinPartitions("node").mapInArrow(_by_node, "a long, b long")
         large = opened.where(F.col("n") > leaf).select("node", "set_id", "n", "label")
-        none_left = large.isEmpty()
-        if level == depth - 1 and not none_left:
-            compared = compared.unionByName(_in_blocks(large, sketches, block)).distinct()
-            none_left = True
-        if run.confirm(compared):
+        more = large.agg(F.count(F.lit(1))).first()[0]
+        if level == depth - 1 and more:
+            compared = compared.unionByName(_in_blocks(large, sketches, block))
+            more = 0
+        if run.confirm((compared if star is None else compared.unionByName(star)).distinct()):
             labels = run.labels()
-        if none_left:
+        if not more:
             break
         placed = large.select("node", "set_id").join(sketches, "set_id").select("node", "set_id", "sketch").mapInArrow(_children, "node long, set_id long").distinct()
     return run, labels
@@ -286,7 +289,7 @@ def _in_blocks(large: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, leaf: int = 48, depth: int = 8, block: int = 512, area: WorkArea | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, leaf: int = 256, depth: int = 6, block: int = 512, area: WorkArea | None = None
 ) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id, kept``.
 
