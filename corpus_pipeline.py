@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from tallyloom.llm.queries import DOMAIN, RANKS, TARGETS
@@ -27,7 +28,7 @@ def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: toxic ones rarely, poor ones half as often."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", DOMAIN.alias("domain"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.expr(DOMAIN).alias("domain"))
     return mixing.mix(docs, labels, TARGETS)
 
 

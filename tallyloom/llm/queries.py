@@ -13,7 +13,7 @@ from .shared import WorkArea
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Domains of the labelled table, and the tokens wanted of each as a multiple of those expected now.
-DOMAIN = F.expr("case when toxic = 1 then 2 when quality = 1 then 1 else 0 end")
+DOMAIN = "case when toxic = 1 then 2 when quality = 1 then 1 else 0 end"
 TARGETS = {0: 0.5, 1: 1.05, 2: 0.1}
 
 
@@ -67,7 +67,7 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels").select("doc_id", DOMAIN.alias("domain"))
+    labels = _read(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain"))
     out = mixing.document_rates(_read(spark, sf_dir, "documents"), labels, TARGETS)
     p = [F.round(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate(("p_poor", "p_good", "p_toxic"))]
     return out.select(F.col("id").cast("long").alias("doc_id"), F.col("tokens").alias("n_tokens"), *p, F.round("rate", 6).alias("rate"), "copies")
