@@ -1,0 +1 @@
+"""Reconciliation has no streaming step; the package is kept for sources that will be."""
