@@ -6,7 +6,8 @@ the name of a run of 2**(k+1) lines is the rank of the pair of names of its halv
 of the distinct pairs, until no two suffixes have a name in common or the longest sequence is spanned. The last names order
 the suffix array; common prefixes of neighbours are found by descending the levels. Suffixes whose neighbours share
 ``least_lines`` lines or more form an interval; its first member by (doc_id, row, line) is the original, and
-the lines of the run at every other member are deleted. The maximal run of a deleted line is the longest common prefix with a
+the lines of the run at every other member are deleted. A line of over ``long_words`` words is a passage by itself: its later
+copies go even where the lines around it differ. The maximal run of a deleted line is the longest common prefix with a
 neighbour.
 
 Names are joined, never positions: distinct pairs are combined before they are exchanged, so a line that
@@ -32,11 +33,11 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, seq, pos, line): lines with a word; ``seq`` counts those, ``pos`` all lines."""
+    """(row, id, seq, pos, line, words): lines with a word; ``seq`` counts those, ``pos`` all lines."""
     parts = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     parts = F.filter(parts, lambda p: p["line"].rlike(_WORD))
     rows = docs.select(_row_key(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.posexplode(parts).alias("seq", "p"))
-    return rows.select("row", "id", "seq", F.col("p.pos").alias("pos"), F.unhex(F.md5(F.col("p.line"))).alias("line"))
+    return rows.select("row", "id", "seq", F.col("p.pos").alias("pos"), F.unhex(F.md5(F.col("p.line"))).alias("line"), F.regexp_count("p.line", F.lit(f"{_WORD}+")).alias("words"))
 
 
 def _ranked(distinct: DataFrame, by: list[str], area: WorkArea, name: str) -> DataFrame:
@@ -45,10 +46,10 @@ def _ranked(distinct: DataFrame, by: list[str], area: WorkArea, name: str) -> Da
 
 
 def suffix_names(lines: DataFrame, area: WorkArea, most_levels: int = 40) -> list[DataFrame]:
-    """Level k: (row, id, seq, pos, name, full) of every position; ``full``: the 2**k lines all exist. The last level's names order the suffixes."""
+    """Level k: (row, id, seq, pos, name, full) of every position, level 0 with ``words``; ``full``: the 2**k lines all exist. The last level's names order the suffixes."""
     repeated = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line")
     ranks = _ranked(repeated, ["line"], area, "rank-0")
-    base = lines.join(ranks, "line").select("row", "id", "seq", "pos", F.col("rank").alias("name"), F.lit(True).alias("full")).dropDuplicates(["row", "seq"])
+    base = lines.join(ranks, "line").select("row", "id", "seq", "pos", F.col("rank").alias("name"), F.lit(True).alias("full"), "words").dropDuplicates(["row", "seq"])
     levels = [area.table(base, "level-0")]
     for k in range(most_levels):
         ahead = Window.partitionBy("row").orderBy("seq").rangeBetween(1 << k, 1 << k)
@@ -92,8 +93,8 @@ def neighbours(levels: list[DataFrame], area: WorkArea) -> DataFrame:
     return both.groupBy("row", "seq").agg(F.max("lcp").alias("lcp"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, area: WorkArea | None = None) -> DataFrame:
-    """(row, pos, lcp) of every line to delete: ``row`` is the document's key, ``pos`` the line's place, ``lcp`` its longest run."""
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, long_words: int = 50, area: WorkArea | None = None) -> DataFrame:
+    """(row, pos, lcp) of every line to delete, in runs of ``least_lines`` or alone with over ``long_words`` words: ``row`` is the document's key, ``pos`` the line's place, ``lcp`` its longest run."""
     if least_lines < 1:
         raise ValueError("least_lines is at least 1")
     area = area or WorkArea(docs.sparkSession, "line-runs")
@@ -107,18 +108,22 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         level = level.limit(0)  # no run of that length repeats
     runs = level.join(lcp.where(F.col("lcp") >= least_lines), ["row", "seq"]).where("n2 is not null")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("seq").alias("seq"))
+    alone = levels[0].where(F.col("words") > long_words)
+    first_line = alone.groupBy("name").agg(F.min(place).alias("first"))
+    copies = alone.join(first_line, "name").where(~((F.col("row") == F.col("first.row")) & (F.col("seq") == F.col("first.seq")))).select("row", F.lit(1).alias("lcp"), "seq")
     first = runs.groupBy("n1", "n2").agg(F.min(place).alias("first"))
     later = runs.join(first, ["n1", "n2"]).where(~((F.col("row") == F.col("first.row")) & (F.col("seq") == F.col("first.seq"))))
     own = F.when(F.col("row") == F.col("first.row"), F.greatest("seq", F.col("first.seq") + least_lines)).otherwise(F.col("seq"))
     stop = F.col("seq") + (least_lines - 1)
     spread = later.where(own <= stop).select("row", "lcp", F.explode(F.sequence(own, stop)).alias("seq"))
+    spread = spread.unionByName(copies.join(lcp.withColumnRenamed("lcp", "shared"), ["row", "seq"], "left").select("row", F.greatest("lcp", "shared").alias("lcp"), "seq"))
     gone = spread.groupBy("row", "seq").agg(F.max("lcp").alias("lcp"))
     return area.table(gone.join(levels[0].select("row", "seq", "pos"), ["row", "seq"]).select("row", "pos", "lcp"), "gone")
 
 
-def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, area: WorkArea | None = None) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = 2, long_words: int = 50, area: WorkArea | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs of lines cut from the text, and ``removed_lines`` int, ``longest_run`` int."""
-    gone = repeated_runs(docs, id_col, text_col, least_lines, area)
+    gone = repeated_runs(docs, id_col, text_col, least_lines, long_words, area)
     names = docs.columns
     flag, key, cut, longest = (fresh_name(names, x) for x in ("maybe", "row_key", "cut", "longest"))
     per = gone.groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(cut), F.max("lcp").alias(longest))  # one document's lines
