@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -95,16 +96,21 @@ def reply_paths(messages: DataFrame, area: WorkArea, best: int = 1, most_rounds:
     ids = base.select("tree", "msg")
     up = base.select("tree", "msg", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
     up = up.join(ids.select("tree", F.col("msg").alias("up"), F.lit(True).alias("there")), ["tree", "up"], "left")
-    step = area.table(up.select("tree", "msg", F.when(F.col("there"), F.col("up")).alias("up"), "total", "depth"), "up-0")
+    reached = F.when(F.col("there"), F.col("up"))
+    step = area.table(up.select("tree", "msg", reached.alias("up"), "total", "depth", reached.isNull().alias("ended")), "up-0")
     steps = [step]
     while not step.where("up is not null").isEmpty() and len(steps) < most_rounds:
-        far = step.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = step.join(far, ["tree", "up"], "left").select(
-            "tree", "msg", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
+        # Only unfinished messages are joined, and only trees that have some are carried on: one deep tree costs the others nothing.
+        open_ = step.where("up is not null")
+        live = step.join(open_.select("tree").distinct(), "tree", "left_semi")
+        far = live.select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        joined = open_.join(far, ["tree", "up"]).select(
+            "tree", "msg", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("up2").isNull().alias("ended")
         )
-        step = area.table(joined, f"up-{len(steps)}")
+        step = area.table(joined.unionByName(live.where("up is null").withColumn("ended", F.lit(False))), f"up-{len(steps)}")
         steps.append(step)
-    leaves = step.where("up is null").join(base.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
+    ended = reduce(DataFrame.unionByName, (s.where("ended") for s in steps)).drop("ended")  # each message once, in the round that reached its root
+    leaves = ended.join(base.where("parent is not null").select("tree", F.col("parent").alias("msg")).distinct(), ["tree", "msg"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "msg"))
     paths = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("msg").alias("leaf"), "rank", "msg", F.lit(0).cast("long").alias("back"))
     paths = area.table(paths, "paths-0")
