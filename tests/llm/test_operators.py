@@ -147,6 +147,10 @@ def test_chat_template_and_trees(spark):
     assert got[1, 1] == [("user", "q"), ("assistant", None), ("user", "more")]
     assert got[1, 2] == [("user", "q"), ("assistant", "bad")]
     assert got[None, 1] == [(None, "alone")]
+    chain = [(c, k, k - 1, "user", f"{c} {k}", float(k)) for c, n in ((1, 37), (2, 1), (3, 8)) for k in range(1, n + 1)] + [(4, 1, 2, "user", "x", 0.0), (4, 2, 1, "user", "y", 0.0)]
+    deep = spark.createDataFrame(chain, "conv long, msg long, parent long, role string, text string, score double")
+    got = {r.conv: [t.text for t in r.turns] for r in chat.reply_paths(deep, WorkArea(spark, "t"), most_rounds=12).collect()}
+    assert got == {c: [f"{c} {k}" for k in range(1, n + 1)] for c, n in ((1, 37), (2, 1), (3, 8))}  # a cycle has no leaf
 
 
 def test_chat_query(spark):
@@ -171,6 +175,10 @@ def test_line_runs(spark):
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None
     assert got[2].text == "own b\n\nend b" and got[2].longest_run == 3
     assert got[None].text == "" and got[5].text == "p\nq"
+    long = " ".join(f"w{k}" for k in range(51))
+    rows = [(1, f"own a\n{long}\nend a"), (2, f"own b\n{long}\nend b"), (3, f"{long[3:]}\nc"), (4, f"{long[3:]}\nd"), (5, f"{long}\n{long}\nown e")]
+    got = {r.doc_id: (r.text, r.longest_run) for r in line_runs.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("own b\nend b", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0), 5: ("own e", 1)}  # 50 words are not over 50
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_runs.drop_repeated_runs(empty).isEmpty()
 
