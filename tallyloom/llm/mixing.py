@@ -13,7 +13,7 @@ Domains are columns, so they must be few; documents may be any number, and no st
 
 Defined results. Null text has no tokens: its posterior is the classifier's bias and its rate moves no total. Null ids are
 hashed as such. Repeated rows count each. Labels of absent documents are ignored, and a document labelled twice uses
-the row of the smallest domain. Without labels all posteriors are equal. Extra columns are carried by :func:`mix`.
+the row of the smallest domain. Of rows with one labelled id the classifier reads one. Without labels all posteriors are equal. Extra columns are carried by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -65,17 +65,18 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[int, ...], id_col: st
     """``labels``: (id_col, domain). One task fits the bounded sample; its result is FEATURES x domains numbers."""
     own = labels.where(F.col("domain").isin(*domains)).groupBy(F.col(id_col).alias("label_id")).agg(F.min("domain").alias("domain"))
     chosen = own.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "domain")  # at most fit_rows rows
-    rows = rows.mapInArrow(_shrink, "text string, domain int")
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select(F.xxhash64("label_id").alias("label_id"), "text", "domain")
+    rows = rows.mapInArrow(_shrink, "label_id long, text string, domain int")
+    rows = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.first("domain").alias("domain"))  # at most fit_rows rows
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, features, ws, ys, n = [], [], [], [], 0
         for batch in batches:
-            t, f, w, counts = _bags_of_pairs(batch.column(0).to_pylist())
+            t, f, w, counts = _bags_of_pairs(batch.column(1).to_pylist())
             texts.append(t + n)
             features.append(f)
             ws.append(w)
-            ys.append(batch.column(1).to_numpy())
+            ys.append(batch.column(2).to_numpy())
             n += len(counts)
         weights, bias = np.zeros((FEATURES, len(domains))), np.zeros(len(domains))
         if n:
@@ -90,8 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[int, ...], id_col: st
                 bias -= 2.0 * gap.mean(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights.astype(np.float32), bias))], pa.binary())], names=["model"])
 
-    # One task by intent: at most fit_rows bags of hashed words, whatever the size of the corpus.
-    weights, bias = pickle.loads(rows.coalesce(1).mapInArrow(train, "model binary").first()[0]) if not chosen.isEmpty() else (np.zeros((FEATURES, len(domains)), np.float32), np.zeros(len(domains)))
+    # One task by intent: at most fit_rows bags of hashed words, whatever the size of the corpus. The exchange before keeps the scan parallel.
+    weights, bias = pickle.loads(rows.repartition(1).sortWithinPartitions("label_id").mapInArrow(train, "model binary").first()[0]) if not chosen.isEmpty() else (np.zeros((FEATURES, len(domains)), np.float32), np.zeros(len(domains)))
     return Classifier(domains, weights, bias)
 
 
@@ -99,10 +100,10 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to their hashed words and counts, so that the fitting task reads little."""
     for batch in batches:
         for piece in slices(batch, "text"):
-            text, feature, w, counts = _bags(piece.column(0))
+            text, feature, w, counts = _bags(piece.column(1))
             edge = np.searchsorted(text, np.arange(len(counts) + 1))
             out = [" ".join(f"{a}:{b:.5g}" for a, b in zip(feature[x:y].tolist(), w[x:y].tolist(), strict=True)) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), piece.column(1).cast(pa.int32())], names=["text", "domain"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, pa.string()), piece.column(2).cast(pa.int32())], names=["label_id", "text", "domain"])
 
 
 def _bags_of_pairs(bags: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
