@@ -4,9 +4,12 @@ Method. (1) A labelled table names the domain of some documents; a softmax class
 fitted on at most ``fit_rows`` labelled documents (the smallest hashes of the id: the only sample here), gives every document
 posterior probabilities of the domains. (2) Every document has a rate, at first one. Its expected domain tokens are rate x
 tokens x posterior. Projected gradient descends the squared distance of the corpus's expected domain totals from the
-targets, with a small pull of each rate towards one; rates below zero go to zero. A step needs one sum for
-each domain over all documents. A document's rate follows from the domain residuals so far, so each step is one scan
-that replays them, and nothing but those sums reaches the driver. (3) The whole part of a rate is a number of
+targets, each relative to the domain's tokens now (so that a rare domain weighs as much as a common one), with a small
+pull of each rate towards one; rates below zero go to zero. A step needs one sum for
+each domain over all documents. A document's rate follows from the domain residuals so far and from its posterior, rounded to
+1/``GRID``; so documents are first summed by that rounded posterior into cells, which keep the exact tokens of each domain. Cells
+are bounded by the grid, not by the corpus (half a million for three domains). Each step is one scan of the cells that replays the
+residuals, and nothing but those sums reaches the driver. (3) The whole part of a rate is a number of
 copies; the rest is decided by a hash of the id, the same on every run.
 
 Domains are columns, so they must be few; documents may be any number, and no step groups or sorts them.
@@ -31,6 +34,8 @@ from .shared import WorkArea, bitmap_filter, fresh_name, mark_maybe
 from .wordhash import slices, words
 
 FEATURES = 1 << 12
+#: Rates are functions of posteriors rounded to 1 / GRID.
+GRID = 1000
 
 
 def _bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,36 +138,53 @@ def mix_key(id_col: str, text_col: str):
     return F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
 
 
-def _rate(history: list[list[float]], pull: float, step: float):
-    """A document's rate after the steps in ``history``; each entry is the domains' residuals."""
+def _cell():
+    """The grid point of a posterior."""
+    return F.transform("p", lambda x: F.round(x * GRID).cast("int"))
+
+
+def cells(soft: DataFrame, domains: int) -> DataFrame:
+    """(cell, t, e0, e1, ...): tokens of the documents at each grid point, and their expected tokens of each domain."""
+    return soft.groupBy(_cell().alias("cell")).agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"e{k}") for k in range(domains)))
+
+
+def _rate(history: list[list[float]], pull: float, step: float, cell):
+    """The rate at a grid point after the steps in ``history``; each entry is the domains' residuals."""
     past = F.array(*(F.array(*map(F.lit, r)) for r in history)) if history else F.expr("cast(array() as array<array<double>>)")
 
     def move(rate, residual):
-        along = F.aggregate(F.zip_with(residual, "p", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        along = F.aggregate(F.zip_with(residual, cell, lambda a, b: a * b / GRID), F.lit(0.0), lambda s, x: s + x)
         return F.greatest(F.lit(0.0), rate - step * (along + pull * (rate - 1.0)))
 
     return F.aggregate(past, F.lit(1.0), move)
 
 
-def fit_rates(soft: DataFrame, targets: list[float], pull: float = 0.02, steps: int = 40, tolerance: float = 1e-3) -> tuple[DataFrame, list[float], list[float]]:
-    """(``soft`` with ``rate``, expected shares reached, shares before); targets are tokens of each domain as shares of all tokens."""
-    n = len(targets)
-    expected = lambda rate: [F.sum(F.col("tokens") * rate * F.get("p", F.lit(k))).alias(f"e{k}") for k in range(n)]
-    first = soft.agg(F.sum("tokens").alias("n"), *expected(F.lit(1.0)), *(F.sum(F.col("tokens") * F.get("p", F.lit(k)) * F.get("p", F.lit(j))).alias(f"g{k}_{j}") for k in range(n) for j in range(n))).first()
+def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float = 1e-3, steps: int = 40, tolerance: float = 2e-3) -> tuple[DataFrame, list[float], list[float]]:
+    """(``soft`` with ``rate``, expected shares reached, shares before); ``wanted``: each domain's tokens as a multiple of its expected tokens."""
+    n = len(wanted)
+    grid = area.table(cells(soft, n), "cells")
+    expected = lambda rate: [F.sum(F.col(f"e{k}") * rate).alias(f"e{k}") for k in range(n)]
+    first = grid.agg(F.sum("t").alias("n"), *expected(F.lit(1.0)), *(F.sum(F.col(f"e{k}") * F.get("cell", F.lit(j)) / GRID).alias(f"g{k}_{j}") for k in range(n) for j in range(n))).first()
     total = float(first["n"] or 0) or 1.0
     before = [float(first[f"e{k}"] or 0) / total for k in range(n)]
+    targets = [a * b for a, b in zip(wanted, before, strict=True)]
     gram = np.array([[float(first[f"g{k}_{j}"] or 0) / total for j in range(n)] for k in range(n)])
-    step = 1.0 / (float(np.linalg.eigvalsh(gram)[-1]) + pull)  # the objective's curvature in the metric weighted by tokens
+    weight = np.array([1 / b if b > 0 else 0.0 for b in before])
+    curved = np.sqrt(weight)[:, None] * (gram + gram.T) / 2 * np.sqrt(weight)
+    step = 1.0 / (float(np.linalg.eigvalsh(curved)[-1]) + pull)  # the objective's curvature in the metric weighted by tokens
     history: list[list[float]] = []
     now, last = before, None
     for _ in range(steps):
-        history.append([a - b for a, b in zip(now, targets, strict=True)])
-        row = soft.agg(*expected(_rate(history, pull, step))).first()
+        gap = (np.array(now) - np.array(targets)) * weight
+        if np.abs(gap).max(initial=0) < tolerance:
+            break
+        history.append(gap.tolist())
+        row = grid.agg(*expected(_rate(history, pull, step, F.col("cell")))).first()
         now = [float(row[f"e{k}"] or 0) / total for k in range(n)]
-        if last is not None and max(abs(a - b) for a, b in zip(now, last, strict=True)) < tolerance / 10:
+        if last is not None and max(abs(a - b) * w for a, b, w in zip(now, last, weight, strict=True)) < tolerance / 20:  # as near as rates of zero and more allow
             break
         last = now
-    return soft.withColumn("rate", _rate(history, pull, step)), now, before
+    return soft.withColumn("rate", _rate(history, pull, step, _cell())), now, before
 
 
 def copies(rate, key):
@@ -175,9 +197,7 @@ def _rated(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col
     domains = tuple(sorted(targets))
     model = fit(docs, labels, domains, id_col, text_col, fit_rows)
     soft = area.table(posteriors(docs, model, id_col, text_col), "posteriors")
-    shares = soft.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"e{k}") for k in range(len(domains)))).first()
-    total = float(shares["n"] or 0) or 1.0
-    rated, _, _ = fit_rates(soft, [targets[d] * float(shares[f"e{k}"] or 0) / total for k, d in enumerate(domains)])
+    rated, _, _ = fit_rates(soft, [targets[d] for d in domains], area)
     return rated.withColumn("copies", copies(F.col("rate"), F.col("key")))
 
 

@@ -195,6 +195,9 @@ def test_mixing(spark):
     vile = [r for r in got if r.id is not None and r.id % 4 == 0]
     assert abs(sum(r.rate for r in vile) / len(vile) - 0.25) < 0.15
     assert min(r.rate for r in got) >= 0
+    for k, wanted in enumerate((1.0, 0.25)):
+        now = sum(r.tokens * r.p[k] for r in got)
+        assert abs(sum(r.tokens * r.p[k] * r.rate for r in got) / now - wanted) < 0.01
     left = mixing.mix(docs, labels, {0: 1.0, 1: 0.0})
     assert left.columns == docs.columns and left.where("doc_id % 4 = 0").count() < 20
     assert mixing.document_rates(docs.limit(0), labels, {0: 1.0, 1: 0.25}).isEmpty()
