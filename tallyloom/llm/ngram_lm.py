@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WorkArea, estimated_bytes
+from .shared import WorkArea, text_bytes
 from .wordhash import mix, slices, words
 
 #: Values of the end and begin marks: no word has them but by a 64-bit coincidence.
@@ -278,7 +278,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", area: WorkArea | None = None, shard_bytes: int = 16 << 20) -> Model:
     """Count, smooth and store. The number of shards follows the estimated size of the input."""
     area = area or WorkArea(docs.sparkSession, "ngram-lm")
-    shards = max(8, -(-estimated_bytes(docs) // shard_bytes))
+    shards = max(8, -(-text_bytes(docs, text_col) // shard_bytes))
     root = area.path("model")
     blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_blocks(shards), _BLOCKS_SQL)
     by_context = _per_shard(blocks, shards, _merge_shard(root, shards), _WORDS_SQL)

@@ -63,9 +63,16 @@ class WorkArea:
             fs.delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``; used only to choose numbers of shards."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates from here on are no sizes: Spark gives such for sources of unknown size, and products for joins.
+_NO_SIZE = 1 << 50
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """The optimizer's size estimate of ``df`` or, where it has none, the bytes of ``text_col`` by one scan; used only to choose numbers of shards."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < _NO_SIZE:
+        return estimate
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
 
 
 #: Bits in one row of Spark's bitmap aggregates.

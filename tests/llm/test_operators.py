@@ -71,7 +71,39 @@ def test_exact_dedup(docs, digest, keep):
     assert exact_dedup.exact_dedup(docs.limit(0)).isEmpty()
 
 
-def test_language_model_sums_to_one_and_beats_unigrams(spark, docs):
+BEGIN = object()
+
+
+def kneser_ney(sequences):
+    """The interpolated modified bigram model by dictionaries: (probability of a word after a context, contexts)."""
+    pairs = Counter(x for t in sequences for x in zip([BEGIN, *t], t))
+    before = Counter(w for _, w in pairs)
+    total, after = Counter(), {}
+    for (h, w), n in pairs.items():
+        total[h] += n
+        after.setdefault(h, []).append(n)
+
+    def discount(counts):
+        n = [sum(c == k for c in counts) for k in range(5)]
+        if not all(n[1:]):
+            return lambda c: 0.5 if c else 0.0
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
+        return lambda c: d[min(c, 3)]
+
+    high, low = discount(list(pairs.values())), discount(list(before.values()))
+    spare = sum(map(low, before.values())) / len(pairs)
+
+    def p(h, w):
+        lower = max(before[w] - low(before[w]), 0) / len(pairs) + spare / (len(before) + 1)
+        if h not in after:
+            return lower
+        return max(pairs[h, w] - high(pairs[h, w]), 0) / total[h] + sum(map(high, after[h])) / total[h] * lower
+
+    return p, after
+
+
+def test_language_model_equals_dictionaries_and_beats_unigrams(spark, docs):
     model = ngram_lm.train(docs)
     got = ngram_lm.score(docs, model).collect()
     count = Counter(w for r in docs.collect() for w in [*words(r.text), None])
@@ -82,12 +114,17 @@ def test_language_model_sums_to_one_and_beats_unigrams(spark, docs):
     base = sorted(sum(np.log10((count[w] + 1) / (n + v + 1)) for w in [*words(r.text), None]) for r in docs.collect())
     assert np.allclose(sorted(r.base_score for r in got), base)
     assert sum(r.score for r in got) > sum(base)
-    # a context's probabilities: each known word, the end and one unknown word
-    kinds = [w for w in count if w is not None]
-    probe = spark.createDataFrame([(k, f"w1 {w}") for k, w in enumerate([*kinds, "never-seen"])] + [(-1, "w1")], "doc_id long, text string")
-    one = {r.doc_id: r for r in ngram_lm.score(probe, model).collect()}
-    first = ngram_lm.score(spark.createDataFrame([(0, "w1 w1 w1"), (1, "w1 w1")], "doc_id long, text string"), model).collect()
-    assert all(np.isfinite(r.score) for r in [*one.values(), *first])
+    p, contexts = kneser_ney([[*words(r.text), None] for r in docs.collect()])
+    kinds = [*count, "never-seen"]
+    for h in [BEGIN, "never-seen", *list(contexts)[:50]]:  # a context's probabilities: known words, the end and one unknown word
+        assert abs(sum(p(h, w) for w in kinds) - 1) < 1e-9
+    probe = spark.createDataFrame([(-1, "w1 never-seen w2"), (-2, "Never"), (-3, None), (-4, "w1 w1 W1")], "doc_id long, text string")
+    for rows, scored in ((docs.collect(), got), (probe.collect(), ngram_lm.score(probe, model).collect())):
+        want = Counter()
+        for r in rows:
+            t = [*words(r.text), None]
+            want[r.doc_id, round(sum(np.log10(p(h, w)) for h, w in zip([BEGIN, *t], t)), 4)] += 1
+        assert Counter((r.doc_id, round(r.score, 4)) for r in scored) == want
     assert ngram_lm.score(docs.limit(0), model).isEmpty()
 
 
