@@ -105,10 +105,11 @@ def mark_maybe(df: DataFrame, hashed: Column, filter_rows: DataFrame, bits_log2:
     The filter is broadcast; see :func:`bitmap_filter` for its bound. A null hash is never in.
     """
     slot = F.pmod(hashed, F.lit(1 << bits_log2)) + 1
-    keyed = df.withColumn("f_key", F.bitmap_bucket_number(slot))
-    right = F.broadcast(filter_rows.withColumnRenamed("f_bucket", "f_key"))
-    test = F.coalesce(bit_at(F.col("f_bits"), F.bitmap_bit_position(slot)), F.lit(False))
-    return keyed.join(right, "f_key", "left").withColumn(flag, test).drop("f_key", "f_bits")
+    key, bits = (fresh_name([*df.columns, flag], x) for x in ("f_key", "f_bits"))
+    keyed = df.withColumn(key, F.bitmap_bucket_number(slot))
+    right = F.broadcast(filter_rows.select(F.col("f_bucket").alias(key), F.col("f_bits").alias(bits)))
+    test = F.coalesce(bit_at(F.col(bits), F.bitmap_bit_position(slot)), F.lit(False))
+    return keyed.join(right, key, "left").withColumn(flag, test).drop(key, bits)
 
 
 def fresh_name(columns: list[str], wanted: str) -> str:

@@ -270,3 +270,28 @@ def test_sharding(spark, docs):
     assert abs(np.mean(draws) - 500) < 6 and 10 < np.std(draws) < 22
     p = sharding.permute(np.arange(1000), np.full(1000, 1000), np.full(1000, 3, np.uint64))
     assert sorted(p) == list(range(1000))
+
+
+CLASHES = "id key text_key label p rate copies tokens n_tokens mix_key times maybe near_maybe f_key f_bits f_bucket gone_id row_key cut longest digest keep_id n kept set_id member size n_words n_lines h u i line row pos".split()
+
+
+def test_extra_columns_of_any_name(spark):
+    """Operators that carry rows leave columns alone whose names they use themselves."""
+    body = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, body), (2, body), (3, body + " x"), (4, None), (None, "a b c"), (6, " ".join(f"v{k}" for k in range(60)))]
+    docs = spark.createDataFrame([(*r, *(f"{c}-{r[0]}" for c in CLASHES)) for r in rows], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in CLASHES)]))
+    labels = spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, domain int")
+    results = {
+        "quality": (quality.keep_good(docs), {1, 2, 3, 6}),
+        "exact": (exact_dedup.drop_copies(docs, keep="largest"), {2, 3, 4, None, 6}),
+        "near": (near_dedup.drop_near_copies(docs), {1, 4, None, 6}),
+        "mixing": (mixing.mix(docs, labels, {0: 1.0, 1: 1.0}), {1, 2, 3, 4, None, 6}),
+        "bpe": (bpe.encode(docs, RANKS), {1, 2, 3, 4, None, 6}),
+        "lines": (line_runs.drop_repeated_runs(docs), {1, 2, 3, 4, None, 6}),
+        "sharding": (sharding.shuffle_into_shards(docs, 3), {1, 2, 3, 4, None, 6}),
+    }
+    for name, (df, kept) in results.items():
+        got = df.collect()
+        assert {r.doc_id for r in got} == kept, name
+        for r in got:
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in CLASHES), name
