@@ -113,8 +113,12 @@ def suspicious(tx: DataFrame) -> DataFrame:
 
 
 def merge_flags(tx: DataFrame, duplicates: DataFrame, flags: DataFrame) -> DataFrame:
-    """Both branches' results on one row: neither is lost."""
-    return tx.join(duplicates.select("id", "duplicate_of"), "id", "left").join(flags.select("id", "suspicious", "suspicious_reason"), "id", "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
+    """Both branches' results on one row: neither is lost. A row that the duplicates' ``needs_review`` marks takes their reason; others keep their own."""
+    doubt, reason = (F.col(c) if c in duplicates.columns else F.lit(None) for c in ("needs_review", "review_reason"))
+    own = duplicates.select("id", "duplicate_of", F.coalesce(doubt, F.lit(False)).alias("in_doubt"), reason.cast("string").alias("doubt_reason"))
+    both = tx.join(own, "id", "left").join(flags.select("id", "suspicious", "suspicious_reason"), "id", "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
+    doubted = F.coalesce("in_doubt", F.lit(False))
+    return both.withColumns({"needs_review": F.col("needs_review") | doubted, "review_reason": F.when(doubted, F.col("doubt_reason")).otherwise(F.col("review_reason"))}).drop("in_doubt", "doubt_reason")
 
 
 # Review and report.

@@ -109,6 +109,12 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
     return ledger.merge_flags(tx, duplicates.exact_tier(tx), ledger.suspicious(tx))
 
 
+def merged_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`merged`, with the greedy run over both tiers: its duplicates, and its doubts as reviews."""
+    tx = categorized(spark, d)
+    return ledger.merge_flags(tx, duplicates.greedy(tx), ledger.suspicious(tx))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".xlsx").when(F.col("doc_id") % 3 == 1, ".xls").otherwise(".pdf"))
     return documents.raw_documents(_read(spark, d, "documents").withColumn("path", path), "path", "text")
@@ -134,8 +140,8 @@ def _q(sql: str, fn: Callable[[SparkSession, str], DataFrame], whole: bool = Tru
     return fn, (ALL_SQL + sql) if whole else sql
 
 
-def _view(flag: str):
-    return lambda s, d: ledger.display(ledger.choose(merged(s, d), flag=flag))
+def _view(flag: str, rows: Callable[[SparkSession, str], DataFrame] = merged):
+    return lambda s, d: ledger.display(ledger.choose(rows(s, d), flag=flag))
 
 
 def _view_sql(where: str) -> str:
@@ -151,8 +157,8 @@ _REVIEW = """SELECT id, date || ' · ' || merchant || ' · ' || printf('%+.2f',
     coalesce(nullif(review_reason, ''), nullif(suspicious_reason, ''), '—') AS reason FROM merged WHERE needs_review"""
 
 
-def _decisions(s: SparkSession, d: str) -> DataFrame:
-    return merged(s, d).where("needs_review").select("id", (F.col("ord") % 2 == 0).alias("checked"))
+def _decisions(s: SparkSession, d: str, rows: Callable[[SparkSession, str], DataFrame] = merged) -> DataFrame:
+    return rows(s, d).where("needs_review").select("id", (F.col("ord") % 2 == 0).alias("checked"))
 
 
 def _greedy(s: SparkSession, d: str) -> DataFrame:
@@ -242,6 +248,21 @@ _TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "cache_hits": _q(f"SELECT source_file, sha256(content) AS content_hash FROM ({DOCS_SQL}) WHERE length(source_file) % 2 = 0", lambda s, d: ledger.cache_hits(ledger.with_hash(_docs(s, d)), _cache(s, d)).select("source_file", "content_hash"), False),
     "cache_misses": _q(f"SELECT source_file, sha256(content) AS content_hash FROM ({DOCS_SQL}) WHERE length(source_file) % 2 = 1", lambda s, d: ledger.cache_misses(ledger.with_hash(_docs(s, d)), _cache(s, d)).select("source_file", "content_hash"), False),
 }
-QUERIES = {k: f for k, (f, _) in _TABLE.items()} | {"duplicates_greedy": _greedy}
-#: The greedy run over both tiers is order-dependent, which SQL can't express: tests compare it with one loop.
+#: What follows the duplicates, over both tiers. The queries of the same names without the ending are the exact tier alone, as their SQL says.
+_GREEDY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "duplicate_entries": lambda s, d: duplicates.entries(transactions(s, d), _greedy(s, d).select("id", "duplicate_of")).select("member", "id", "amount_original"),
+    "merged_flags": lambda s, d: merged_greedy(s, d).select(*_MERGED_COLS.split(", ")),
+    "review_queue": lambda s, d: ledger.review_queue(merged_greedy(s, d)),
+    "apply_decisions": lambda s, d: ledger.apply_decisions(merged_greedy(s, d), _decisions(s, d, merged_greedy)).select("id", "review_status"),
+    "report_headline": lambda s, d: ledger.headline(merged_greedy(s, d)),
+    "report_text": lambda s, d: ledger.report_text(ledger.headline(merged_greedy(s, d)), ledger.by_category(merged_greedy(s, d))),
+    "view_transactions": _view("All", merged_greedy),
+    "view_duplicates": _view("Duplicate", merged_greedy),
+    "view_suspicious": _view("Suspicious", merged_greedy),
+    "view_needs_review": _view("Needs Review", merged_greedy),
+    "view_clean": _view("Clean", merged_greedy),
+    "view_filtered": lambda s, d: ledger.display(ledger.choose(merged_greedy(s, d), "ACCT-7", "Shopping")),
+}
+QUERIES = {k: f for k, (f, _) in _TABLE.items()} | {"duplicates_greedy": _greedy} | {f"{k}_greedy": f for k, f in _GREEDY.items()}
+#: The greedy run over both tiers is order-dependent, which SQL can't express: tests compare it, and what follows it, with one loop.
 ORACLES = {k: sql for k, (_, sql) in _TABLE.items()}
