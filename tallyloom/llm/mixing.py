@@ -69,6 +69,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, domains: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 6000, steps: int = 300) -> Classifier:
     """``labels``: (id_col, domain). One task fits the bounded sample; its result is FEATURES x domains numbers."""
     own = labels.where(F.col("domain").isin(*domains)).groupBy(F.col(id_col).alias("label_id")).agg(F.min("domain").alias("domain"))
+    own = own.join(docs.select(F.col(id_col).alias("label_id")).distinct(), "label_id", "left_semi")  # absent documents use up no row of the sample
     chosen = own.orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select(F.xxhash64("label_id").alias("label_id"), "text", "domain")
     rows = rows.mapInArrow(_shrink, "label_id long, text string, domain int")
@@ -97,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[int, ...], id_col: st
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights.astype(np.float32), bias))], pa.binary())], names=["model"])
 
     # One task by intent: at most fit_rows bags of hashed words, whatever the size of the corpus. The exchange before keeps the scan parallel.
-    weights, bias = pickle.loads(rows.repartition(1).sortWithinPartitions("label_id").mapInArrow(train, "model binary").first()[0]) if not chosen.isEmpty() else (np.zeros((FEATURES, len(domains)), np.float32), np.zeros(len(domains)))
+    trained = rows.repartition(1).sortWithinPartitions("label_id").mapInArrow(train, "model binary").first()
+    weights, bias = pickle.loads(trained[0]) if trained else (np.zeros((FEATURES, len(domains)), np.float32), np.zeros(len(domains)))
     return Classifier(domains, weights, bias)
 
 

@@ -4,7 +4,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from tallyloom.llm import queries, sharding
+from tallyloom.llm import mixing, queries, sharding
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,3 +17,12 @@ def test_sharding_digests_are_of_exchanged_texts(spark, monkeypatch):
     whole = sharding.shuffle_into_shards
     monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, n: whole(df.withColumn("text", F.lit("lost")), n))
     assert {(r.size, r.text_crc32) for r in queries.op10_sharding(spark, SMALL).collect()} == {(5, zlib.crc32(b"lost"))}
+
+
+def test_labels_of_absent_documents_use_up_no_sample(spark):
+    docs = spark.createDataFrame([(k, "vile words" if k % 2 else "good words") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, domain int")
+    got = mixing.document_rates(docs, labels, {0: 1.0, 1: 1.0}, fit_rows=20).collect()
+    assert all((r.p[1] > 0.5) == (r.id % 2 == 1) for r in got)
+    none = spark.createDataFrame([(-1, 1)], "doc_id long, domain int")
+    assert {tuple(r.p) for r in mixing.document_rates(docs, none, {0: 1.0, 1: 1.0}).collect()} == {(0.5, 0.5)}
