@@ -3,13 +3,13 @@
 Method. (1) A labelled table names the domain of some documents; a softmax classifier over hashed word counts,
 fitted on at most ``fit_rows`` labelled documents (the smallest hashes of the id: the only sample here), gives every document
 posterior probabilities of the domains. (2) Every document has a rate, at first one. Its expected domain tokens are rate x
-tokens x posterior. Projected gradient descends the squared distance of the corpus's expected domain totals from the
+tokens x posterior. Rates of zero or more minimize the squared distance of the corpus's expected domain totals from the
 targets, each relative to the domain's tokens now (so that a rare domain weighs as much as a common one), with a small
-pull of each rate towards one; rates below zero go to zero. A step needs one sum for
-each domain over all documents. A document's rate follows from the domain residuals so far and from its posterior, rounded to
-1/``GRID``; so documents are first summed by that rounded posterior into cells, which keep the exact tokens of each domain. Cells
-are bounded by the grid, not by the corpus (half a million for three domains). Each step is one scan of the cells that replays the
-residuals, and nothing but those sums reaches the driver. (3) The whole part of a rate is a number of
+pull of each rate towards one. At the minimum a rate is max(0, 1 - z . posterior) with one multiplier z for each domain, so the search is over
+as many numbers as domains: a damped Newton method, until the optimality condition holds within a tolerance. A document's posterior
+enters rounded to 1/``GRID``; so documents are first summed by that rounded posterior into cells, which keep the exact tokens of each
+domain. Cells are bounded by the grid, not by the corpus (half a million for three domains). Each step is one scan of the cells, and
+nothing but sums over them reaches the driver. The totals reached and whether the search ended are in :class:`Fit`. (3) The whole part of a rate is a number of
 copies; the rest is decided by a hash of the id, the same on every run.
 
 Domains are columns, so they must be few; documents may be any number, and no step groups or sorts them.
@@ -22,7 +22,8 @@ the row of the smallest domain. Of rows with one labelled id the classifier read
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,58 +151,68 @@ def cells(soft: DataFrame, domains: int) -> DataFrame:
     return soft.groupBy(_cell().alias("cell")).agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"e{k}") for k in range(domains)))
 
 
-def _rate(history: list[list[float]], pull: float, step: float, cell):
-    """The rate at a grid point after the steps in ``history``; each entry is the domains' residuals."""
-    past = F.array(*(F.array(*map(F.lit, r)) for r in history)) if history else F.expr("cast(array() as array<array<double>>)")
+@dataclass(frozen=True)
+class Fit:
+    """Expected shares of the domains in all tokens: ``before``, ``targets`` and ``reached``; ``converged``: the optimality condition holds."""
+
+    before: tuple[float, ...]
+    targets: tuple[float, ...]
+    reached: tuple[float, ...]
+    converged: bool
+    scans: int
 
-    def move(rate, residual):
-        along = F.aggregate(F.zip_with(residual, cell, lambda a, b: a * b / GRID), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), rate - step * (along + pull * (rate - 1.0)))
 
-    return F.aggregate(past, F.lit(1.0), move)
+def _rate(z: list[float], cell):
+    """The rate at a grid point; ``z``: the domains' multipliers."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(x)) * F.get(cell, F.lit(k)) / GRID for k, x in enumerate(z)), F.lit(0.0)))
 
 
-def _with_rates(soft: DataFrame, domains: int, history: list[list[float]], pull: float, step: float) -> DataFrame:
+def _with_rates(soft: DataFrame, domains: int, z: list[float]) -> DataFrame:
     """``soft`` with ``rate``: :func:`_rate` of each row's cell, by arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p")
             own = np.trunc(p.flatten().to_numpy(zero_copy_only=False) * GRID + 0.5).reshape(len(p), domains) / GRID
-            rate = np.ones(len(p))
-            for residual in history:
-                rate = np.maximum(0.0, rate - step * (own @ np.array(residual) + pull * (rate - 1.0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(0.0, 1.0 - own @ np.array(z)))], names=[*batch.schema.names, "rate"])
 
     return soft.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in soft.schema) + ", rate double")
 
 
-def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float = 1e-3, steps: int = 40, tolerance: float = 2e-3) -> tuple[DataFrame, list[float], list[float]]:
-    """(``soft`` with ``rate``, expected shares reached, shares before); ``wanted``: each domain's tokens as a multiple of its expected tokens."""
+def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float = 1e-3, most_scans: int = 80, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
+    """``soft`` with ``rate``, and the :class:`Fit`; ``wanted``: each domain's tokens as a multiple of its expected tokens; ``tolerance`` is relative to those."""
     n = len(wanted)
     grid = area.table(cells(soft, n), "cells")
-    expected = lambda rate: [F.sum(F.col(f"e{k}") * rate).alias(f"e{k}") for k in range(n)]
-    first = grid.agg(F.sum("t").alias("n"), *expected(F.lit(1.0)), *(F.sum(F.col(f"e{k}") * F.get("cell", F.lit(j)) / GRID).alias(f"g{k}_{j}") for k in range(n) for j in range(n))).first()
-    total = float(first["n"] or 0) or 1.0
-    before = [float(first[f"e{k}"] or 0) / total for k in range(n)]
-    targets = [a * b for a, b in zip(wanted, before, strict=True)]
-    gram = np.array([[float(first[f"g{k}_{j}"] or 0) / total for j in range(n)] for k in range(n)])
-    weight = np.array([1 / b if b > 0 else 0.0 for b in before])
-    curved = np.sqrt(weight)[:, None] * (gram + gram.T) / 2 * np.sqrt(weight)
-    step = 1.0 / (float(np.linalg.eigvalsh(curved)[-1]) + pull)  # the objective's curvature in the metric weighted by tokens
-    history: list[list[float]] = []
-    now, last = before, None
-    for _ in range(steps):
-        gap = (np.array(now) - np.array(targets)) * weight
-        if np.abs(gap).max(initial=0) < tolerance:
-            break
-        history.append(gap.tolist())
-        row = grid.agg(*expected(_rate(history, pull, step, F.col("cell")))).first()
-        now = [float(row[f"e{k}"] or 0) / total for k in range(n)]
-        if last is not None and max(abs(a - b) * w for a, b, w in zip(now, last, weight, strict=True)) < tolerance / 20:  # as near as rates of zero and more allow
-            break
-        last = now
-    return _with_rates(soft, n, history, pull, step), now, before
+    pairs = [(k, j) for k in range(n) for j in range(n)]
+
+    def scan(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, and by domain the expected tokens and their derivatives by the multipliers, sign reversed."""
+        rate = _rate(z.tolist(), F.col("cell"))
+        slopes = (F.sum(F.when(rate > 0, F.col(f"e{k}") * F.get("cell", F.lit(j)) / GRID)).alias(f"h{k}_{j}") for k, j in pairs)
+        row = grid.agg(F.sum("t").alias("n"), *(F.sum(F.col(f"e{k}") * rate).alias(f"e{k}") for k in range(n)), *slopes).first()
+        value = lambda name: float(row[name] or 0)
+        return value("n") or 1.0, np.array([value(f"e{k}") for k in range(n)]), np.array([value(f"h{k}_{j}") for k, j in pairs]).reshape(n, n)
+
+    z = np.zeros(n)
+    total, now, slope = scan(z)
+    before = now / total
+    targets = np.array(wanted) * before
+    base = np.where(before > 0, before, 1.0)
+    left = lambda at, e: pull * base * at + targets - e / total
+    gap, scans = left(z, now), 1
+    while (np.abs(gap) / base).max(initial=0) > tolerance and scans < most_scans:
+        move = -np.linalg.solve(slope / total + np.diag(pull * base), gap)
+        steep = abs(float(gap @ move))
+        while True:  # the objective is convex: a step that goes far beyond the minimum along its line is halved
+            total, e, h = scan(z + move)
+            scans += 1
+            new = left(z + move, e)
+            if float(new @ move) <= 0.25 * steep or scans >= most_scans:
+                break
+            move, steep = move / 2, steep / 2
+        z, now, slope, gap = z + move, e, h, new
+    converged = bool((np.abs(gap) / base).max(initial=0) <= tolerance)
+    return _with_rates(soft, n, z.tolist()), Fit(tuple(before.tolist()), tuple(targets.tolist()), tuple((now / total).tolist()), converged, scans)
 
 
 def copies(rate, key):
@@ -210,22 +221,29 @@ def copies(rate, key):
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str, text_col: str, fit_rows: int, area: WorkArea) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str, text_col: str, fit_rows: int, area: WorkArea, on_fit: Callable[[Fit], None] | None) -> DataFrame:
     domains = tuple(sorted(targets))
     model = fit(docs, labels, domains, id_col, text_col, fit_rows)
     soft = area.table(posteriors(docs, model, id_col, text_col), "posteriors")
-    rated, _, _ = fit_rates(soft, [targets[d] for d in domains], area)
+    rated, found = fit_rates(soft, [targets[d] for d in domains], area)
+    if on_fit:
+        on_fit(found)
+    elif not found.converged:
+        warnings.warn(f"rates did not converge: {found}", stacklevel=3)
     return rated.withColumn("copies", copies(F.col("rate"), F.col("key")))
 
 
 def document_rates(
-    docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 6000, area: WorkArea | None = None
+    docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 6000, area: WorkArea | None = None, on_fit: Callable[[Fit], None] | None = None
 ) -> DataFrame:
-    """(id, key, tokens, p, rate, copies) of each row. ``targets``: a domain's tokens as a multiple of its expected tokens now."""
-    return _rated(docs, labels, targets, id_col, text_col, fit_rows, area or WorkArea(docs.sparkSession, "mixing"))
+    """(id, key, tokens, p, rate, copies) of each row. ``targets``: a domain's tokens as a multiple of its expected tokens now.
+
+    ``on_fit`` gets the totals reached and whether the search converged; without it, a search that did not warns.
+    """
+    return _rated(docs, labels, targets, id_col, text_col, fit_rows, area or WorkArea(docs.sparkSession, "mixing"), on_fit)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 6000, area: WorkArea | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 6000, area: WorkArea | None = None, on_fit: Callable[[Fit], None] | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says; same columns.
 
     Only rows that may have other than one copy, by a bitmap of their keys, are exchanged.
@@ -233,7 +251,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: s
     area = area or WorkArea(docs.sparkSession, "mixing")
     names = docs.columns
     key, times, one, flag = (fresh_name(names, x) for x in ("mix_key", "times", "one", "maybe"))
-    rated = _rated(docs, labels, targets, id_col, text_col, fit_rows, area)
+    rated = _rated(docs, labels, targets, id_col, text_col, fit_rows, area, on_fit)
     changed = area.table(rated.where("copies <> 1").groupBy(F.col("key").alias(key)).agg(F.first("copies").alias(times)), "changed")
     marked = mark_maybe(docs.withColumn(key, mix_key(id_col, text_col)), F.col(key), bitmap_filter(changed, key), flag=flag)
     same = marked.where(~F.col(flag)).select(*names)

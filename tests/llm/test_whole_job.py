@@ -2,9 +2,11 @@
 
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, queries, sharding
+from tallyloom.llm.shared import WorkArea
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,3 +28,20 @@ def test_labels_of_absent_documents_use_up_no_sample(spark):
     assert all((r.p[1] > 0.5) == (r.id % 2 == 1) for r in got)
     none = spark.createDataFrame([(-1, 1)], "doc_id long, domain int")
     assert {tuple(r.p) for r in mixing.document_rates(docs, none, {0: 1.0, 1: 1.0}).collect()} == {(0.5, 0.5)}
+
+
+def test_mixing_goes_on_to_the_optimum(spark):
+    """Posteriors that overlap: many rates are zero, and 40 gradient steps fall short of the optimum."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([1.5, 3.0, 0.08], 3000)
+    tokens = rng.integers(20, 400, 3000)
+    soft = spark.createDataFrame([(k, k, int(n), x.tolist()) for k, (n, x) in enumerate(zip(tokens, p, strict=True))], "id long, key long, tokens long, p array<double>")
+    rated, *found = mixing.fit_rates(soft, [0.5, 1.05, 0.1], WorkArea(spark, "fit"))
+    got = {r.id: r.rate for r in rated.collect()}
+    rate = np.array([got[k] for k in range(3000)])
+    now = tokens @ p
+    gap = ((tokens * rate) @ p - now * [0.5, 1.05, 0.1]) / now
+    slope = p @ gap + 1e-3 * (rate - 1)  # zero where the rate is above zero, else not negative
+    assert np.abs(np.where(rate > 0, slope, np.minimum(slope, 0))).max() < 2e-3
+    (fit,) = found
+    assert fit.converged and np.allclose(np.array(fit.reached) * tokens.sum(), (tokens * rate) @ p, rtol=1e-6)
