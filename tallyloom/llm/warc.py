@@ -214,12 +214,14 @@ def read_archive(spark: SparkSession, path: str, area: WorkArea, payloads: bool
     ok = F.coalesce(F.col("digest") == F.col("found"), F.lit(False))
     responses = responses.withColumn("ok", ok)
     revisits = found.where("kind = 'revisit'").select("page_id", "url", "refers_to", "digest")
-    # A response that others refer to: the smallest page of its payload; repeated rows are equal, so any one serves.
-    named = responses.where("page_id is not null").join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
-    named = named.groupBy("page_id").agg(*(F.first(c).alias(f"r_{c}") for c in ("payload", "bytes", "found", "ok"))).withColumnRenamed("page_id", "refers_to")
-    back = revisits.join(named, "refers_to", "left").select(
+    # A response that others refer to: by page and payload, as repeated rows of a page may differ; equal payloads are one, so any one serves.
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), F.col("digest").alias("found")).distinct()
+    named = responses.where("page_id is not null").join(wanted, ["page_id", "found"], "left_semi")
+    named = named.groupBy("page_id", "found").agg(F.first(F.struct("payload", "bytes")).alias("r"), F.max("ok").alias("r_ok"))
+    named = named.select(F.col("page_id").alias("refers_to"), F.col("found").alias("digest"), F.col("r.payload").alias("r_payload"), F.col("r.bytes").alias("r_bytes"), F.col("found").alias("r_found"), "r_ok")
+    back = revisits.join(named, ["refers_to", "digest"], "left").select(
         "page_id", "url", F.lit("revisit").alias("record_type"), "refers_to", F.col("r_payload").alias("payload"), F.col("r_bytes").alias("payload_bytes"), F.col("r_found").alias("payload_digest"),
-        F.coalesce(F.col("r_ok") & (F.col("r_found") == F.col("digest")), F.lit(False)).alias("ok"),
+        F.coalesce("r_ok", F.lit(False)).alias("ok"),
     )
     own = responses.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload", F.col("bytes").alias("payload_bytes"), F.col("found").alias("payload_digest"), "ok")
     return own.unionByName(back)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, queries, sharding
+from tallyloom.llm import mixing, queries, sharding, warc
 from tallyloom.llm.shared import WorkArea
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,3 +45,12 @@ def test_mixing_goes_on_to_the_optimum(spark):
     assert np.abs(np.where(rate > 0, slope, np.minimum(slope, 0))).max() < 2e-3
     (fit,) = found
     assert fit.converged and np.allclose(np.array(fit.reached) * tokens.sum(), (tokens * rate) @ p, rtol=1e-6)
+
+
+def test_warc_revisits_of_a_page_with_two_payloads(spark):
+    rows = [(1, "u", "one"), (1, "u", "another"), (2, "u", "one"), (3, "u", "another")]
+    area = WorkArea(spark, "warc-two")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), area.path("a"), area)
+    got = warc.read_archive(spark, area.path("a"), area).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode(), r.refers_to, r.ok) for r in got if r.refers_to) == [(2, "one", 1, True), (3, "another", 1, True)]
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == sorted(rows)
