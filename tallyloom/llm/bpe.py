@@ -7,8 +7,8 @@ That bucket's positions are merged in order; entries whose parts have changed me
 are skipped when they surface. Cost is near-linear in the pre-token's length, so a pre-token of
 megabytes is no special case. The result is that of always merging the leftmost pair of lowest rank.
 
-Ids of pre-tokens met before come from a bounded cache in each worker; one queue serves all the others of
-a group of texts at once.
+Ids of pre-tokens met before come from a bounded cache in each worker, by the pre-token itself; one queue serves all the others of
+a group of texts at once. Equal pre-tokens of a group are found by hashes and compared by their text.
 Text is split by the tokenizer's own pattern, whole, without special tokens.
 The pattern is evaluated over arrays of code points rather than by a regex engine.
 
@@ -287,12 +287,35 @@ _CUT = re.compile(r"\S ")  # any \S of Python's is not white space in the patter
 _PIECE = 4 << 20
 
 
+def _apart(points: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal hashes, checked on the text: a span that differs from its group's first goes to a group of its own text."""
+    sizes = stops - starts
+    odd = sizes != sizes[first][which]
+    same = np.flatnonzero(~odd)
+    n = sizes[same]
+    at = np.cumsum(n) - n
+    inside = np.arange(int(n.sum())) - np.repeat(at, n)
+    differs = points[inside + np.repeat(starts[same], n)] != points[inside + np.repeat(starts[first][which[same]], n)]
+    odd[same] = np.add.reduceat(differs, at) > 0 if len(at) else False
+    if odd.any():
+        groups: dict[bytes, int] = {}
+        first, which = first.tolist(), which.copy()
+        for i in np.flatnonzero(odd).tolist():
+            own = points[starts[i] : stops[i]].tobytes()
+            if own not in groups:
+                groups[own] = len(first)
+                first.append(i)
+            which[i] = groups[own]
+        first = np.array(first)
+    return first, which
+
+
 class _Worker:
     """One encoder and cache for all tasks of a Python worker."""
 
     def __init__(self, path: str) -> None:
         self.encoder = Encoder(read_ranks(path))
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         tokens = self.encoder.tokens
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
@@ -308,22 +331,22 @@ class _Worker:
         ends = np.cumsum(sizes)
         starts = token_starts(points, (ends - sizes)[sizes > 0])
         stops = np.append(starts[1:], len(points))
-        kinds, first, which = np.unique(span_hashes(points, starts, stops), return_index=True, return_inverse=True)
+        _, first, which = np.unique(span_hashes(points, starts, stops), return_index=True, return_inverse=True)
+        first, which = _apart(points, starts, stops, first, which)
         cache, merge = self.cache, self.encoder.merge
-        if len(cache) + len(kinds) > _CACHE_ENTRIES + len(kinds) // 2:
+        if len(cache) + len(first) > _CACHE_ENTRIES + len(first) // 2:
             cache.clear()
-        hashes, sizes_of = kinds.tolist(), (stops - starts)[first].tolist()
-        own = [cache.get(h) for h in hashes]
+        kinds = [joined[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        own = [cache.get(kind) for kind in kinds]
         new = [k for k, got in enumerate(own) if got is None]
         if new:
-            at = starts[first].tolist()
-            merged, per = merge([joined[at[k] : at[k] + sizes_of[k]].encode() for k in new])
+            merged, per = merge([kinds[k].encode() for k in new])
             to = np.cumsum(per).tolist()
             merged, a = merged.tobytes(), 0
             for k, b in zip(new, to, strict=True):
                 own[k] = merged[4 * a : 4 * b]
-                if sizes_of[k] <= _CACHE_LONGEST:
-                    cache[hashes[k]] = own[k]
+                if len(kinds[k]) <= _CACHE_LONGEST:
+                    cache[kinds[k]] = own[k]
                 a = b
         flat = np.frombuffer(b"".join(own), dtype="<u4")
         per = np.fromiter(map(len, own), np.int64, len(own)) >> 2

@@ -1,18 +1,19 @@
 """Vectorised words, word hashes and shingles over Arrow string columns.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; A-Z are lowered first. A word's
-64-bit value is a polynomial over its bytes modulo 2**64, taken from one prefix sum over the
-whole buffer, then mixed. Equal words get equal values in every batch, task and run.
+64-bit value chains its bytes, eight at a time, through a bijective mixer, and is a BLAKE2b digest if the
+word is long: no family of words has one value by construction, as with polynomials modulo 2**64. Equal words get equal
+values in every batch, task and run. Callers that need certainty compare the bytes.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
-_CHUNK = 1 << 21  # bytes of text hashed at once: bounds memory, whatever the text's length
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+_LONG = 32  # bytes beyond which a word's value is a digest
 
 _space = np.zeros(256, dtype=bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,17 +29,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_byte_value = mix(np.arange(256, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        up, down = np.full(n, _R, dtype=np.uint64), np.full(n, _R_INV, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+def hash_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, longest: int = _LONG) -> np.ndarray:
+    """A 64-bit value of each span of ``data``; ``data`` has eight bytes after its last span. Spans over ``longest`` bytes are digested one by one."""
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,))  # the eight bytes at each place
+    out = mix(sizes.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+    live = np.flatnonzero((sizes > 0) & (sizes <= longest))
+    k = 0
+    while len(live):
+        left = sizes[live] - k
+        chunk = eight[starts[live] + k] & _MASKS[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ chunk)
+        k += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(sizes > longest).tolist():
+        a = int(starts[i])
+        out[i] = int.from_bytes(blake2b(data[a : a + int(sizes[i])], digest_size=8).digest(), "little")
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,27 +84,15 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] = inside[1:] & before[1:]
     ends = np.flatnonzero(inside & ~after) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + _CHUNK, side="right")))
-        piece = raw[base : ends[to - 1]]
-        up, down = _power_tables(1 << max(16, int(len(piece)).bit_length()))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_byte_value[_lower[piece]] * up[: len(piece)], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
-    return out, counts
+    data = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_lower, raw, out=data[: len(raw)])
+    return hash_spans(data, starts, ends - starts), counts
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit value of each span of code points, equal for equal spans."""
-    up, down = _power_tables(1 << max(16, int(len(points)).bit_length()))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64)) * up[: len(points)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    """A 64-bit value of each span of 32-bit code points, equal for equal spans."""
+    data = np.append(points, np.zeros(2, points.dtype)).view(np.uint8)
+    return hash_spans(data, starts * 4, (stops - starts) * 4, longest=256)
 
 
 def shingles(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +101,8 @@ def shingles(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     starts = np.concatenate(([0], np.cumsum(counts)))
     per = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     acc = np.zeros(max(len(values) - size + 1, 0), np.uint64)
-    for k in range(size):
-        acc += mix(values[k : k + len(acc)] + np.uint64(k * 0x632BE5AB + 1)) if len(acc) else acc
+    for k in range(size if len(acc) else 0):
+        acc = mix(acc ^ values[k : k + len(acc)])
     owner = np.repeat(np.arange(docs), per)
     first = np.concatenate(([0], np.cumsum(per)))
     where = starts[owner] + (np.arange(first[-1]) - first[owner])
@@ -116,7 +113,7 @@ def shingles(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
         v = values[starts[i] : starts[i + 1]]
         total = np.zeros(1, np.uint64)
         for k in range(len(v)):
-            total += mix(v[k : k + 1] + np.uint64(k * 0x632BE5AB + 1))
+            total = mix(total ^ v[k : k + 1])
         out[first[i]] = mix(total + np.uint64(len(v)))[0]
     return out, per
 
