@@ -50,7 +50,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(_read(spark, sf_dir, "documents")).select(_id(), "n_shingles", _id("component_id"), "kept")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,24 @@ def mark_maybe(df: DataFrame, hashed: Column, filter_rows: DataFrame, bits_log2:
     return keyed.join(right, key, "left").withColumn(flag, test).drop(key, bits)
 
 
+#: Keys up to which a bitmap is broadcast; 16 bits for each key, so 64 MiB at most.
+MOST_KEYS = 1 << 25
+
+
+def mark_known(df: DataFrame, hashed: Column, keys: DataFrame, flag: str = "maybe") -> DataFrame:
+    """Add boolean ``flag``: false for rows whose ``hashed`` is certainly not in the 64-bit column ``h`` of ``keys``, a cheap table.
+
+    The keys are counted first. Up to :data:`MOST_KEYS` they are broadcast as a bitmap sized by their number; more are joined.
+    """
+    n = keys.count()
+    if n <= MOST_KEYS:
+        bits = max(20, (16 * n - 1).bit_length()) if n else 15
+        return mark_maybe(df, hashed, bitmap_filter(keys, "h", bits), bits, flag)
+    key, own = (fresh_name([*df.columns, flag], x) for x in ("known_key", "known_own"))
+    wanted = keys.select(F.col("h").alias(key)).distinct()
+    return df.withColumn(own, hashed).join(wanted, F.col(own) == F.col(key), "left").withColumn(flag, F.col(key).isNotNull()).drop(own, key)
+
+
 def fresh_name(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores before it until no column has that name (case-insensitively)."""
     taken = {c.lower() for c in columns}
