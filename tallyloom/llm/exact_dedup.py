@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WorkArea, bit_at, bitmap_filter, fresh_name, mark_maybe
+from .shared import WorkArea, bit_at, fresh_name, mark_known
 
 
 def sha256_digest(text: Column) -> Column:
@@ -44,7 +44,6 @@ class DigestIndex:
     classes: DataFrame  #: (digest, keep_id, n) of digests with one text and more than one row
     collided: DataFrame  #: (id, digest, keep_id, n) of rows whose digest covers several texts
     collisions: bool
-    filter_bits: int
 
 
 def _best(ids: Column, keep: str) -> Column:
@@ -84,19 +83,17 @@ def build_index(
     text_col: str = "text",
     keep: str = "smallest",
     memtables: int = 4,
-    filter_bits: int = 24,
     digest: Callable[[Column], Column] = sha256_digest,
     area: WorkArea | None = None,
 ) -> DigestIndex:
-    """Flush, compact and verify. ``filter_bits``: log2 of the bits of the filter before verification (2 MiB at 24)."""
+    """Flush, compact and verify."""
     area = area or WorkArea(docs.sparkSession, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = area.table(source.select("id", digest(F.col("text")).alias("digest")), "rows")
     compacted = _compact(_flush(rows, memtables, keep, area), keep, area)
     hits = compacted.where("n > 1").select(F.xxhash64("digest").alias("h"))
-    known = bitmap_filter(hits, "h", filter_bits)
-    hit_texts = mark_maybe(source.withColumn("digest", digest(F.col("text"))), F.xxhash64("digest"), known, filter_bits).where("maybe")
+    hit_texts = mark_known(source.withColumn("digest", digest(F.col("text"))), F.xxhash64("digest"), hits).where("maybe")
     # Grouping by the text compares the bytes; a digest of several texts gets several rows.
     variants = area.table(
         hit_texts.groupBy("digest", "text")
@@ -114,7 +111,7 @@ def build_index(
         collided = area.table(own.select("id", "digest", "text").join(sized, ["digest", "text"]).select("id", "digest", "text", "keep_id", "n"), "collided")
     else:
         collided = per.limit(0).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "digest", F.lit("").alias("text"), "keep_id", "n")
-    return DigestIndex(rows, compacted, per.where("texts = 1").select("digest", "keep_id", "n"), collided, collisions, filter_bits)
+    return DigestIndex(rows, compacted, per.where("texts = 1").select("digest", "keep_id", "n"), collided, collisions)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **options) -> DataFrame:
@@ -135,21 +132,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **options) -> DataFrame:
     """``docs`` with one row of each class of equal texts, all columns kept.
 
-    Rows that cannot be copies by the index's filter stay where they are; the rest are grouped by text,
-    with map-side combination, and the row to keep is taken whole.
+    Rows that cannot be copies by the index's filter stay where they are. Of the others, those that are not their class's
+    row to keep go by a join on the digest; what is left is grouped by text only where ids repeat or texts share a digest.
     """
     index = build_index(docs, id_col, text_col, keep, **options)
     digest = options.get("digest", sha256_digest)
     names = docs.columns
-    flag, key, row = (fresh_name(names, x) for x in ("maybe", "key", "row"))
+    flag, own, other, best, key, row = (fresh_name(names, x) for x in ("maybe", "own_digest", "class_digest", "class_keep", "key", "row"))
     hits = index.classes.select("digest")
+    twice = index.rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest").distinct()
     if index.collisions:
-        hits = hits.unionByName(index.collided.select("digest").distinct())
-    known = bitmap_filter(hits.select(F.xxhash64("digest").alias("h")), "h", index.filter_bits)
+        hits, twice = (x.unionByName(index.collided.select("digest").distinct()) for x in (hits, twice))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = mark_maybe(docs, F.xxhash64(digest(text)), known, index.filter_bits, flag)
+    marked = mark_known(docs.withColumn(own, digest(text)), F.xxhash64(own), hits.select(F.xxhash64("digest").alias("h")), flag)
     alone = marked.where(~F.col(flag)).select(*names)
+    classes = index.classes.select(F.col("digest").alias(other), F.col("keep_id").alias(best))
+    kept = marked.where(flag).join(classes, F.col(own) == F.col(other), "left").where(F.col(other).isNull() | F.col(id_col).eqNullSafe(F.col(best)))
+    if twice.isEmpty():
+        return alone.unionByName(kept.select(*names))
+    twice = twice.select(F.col("digest").alias(other))
+    kept = kept.drop(other)
+    sure = kept.join(twice, F.col(own) == F.col(other), "left_anti").select(*names)
     order = F.struct(F.col(id_col).isNull() if keep == "smallest" else F.col(id_col).isNotNull(), F.col(id_col))
     pick = (F.min_by if keep == "smallest" else F.max_by)(F.struct(*names), order)
-    merged = marked.where(flag).groupBy(text.alias(key)).agg(pick.alias(row)).select(f"{row}.*")
-    return alone.unionByName(merged)
+    merged = kept.join(twice, F.col(own) == F.col(other), "left_semi").groupBy(text.alias(key)).agg(pick.alias(row)).select(f"{row}.*")
+    return alone.unionByName(sure).unionByName(merged)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_RUN, WorkArea, bitmap_filter, fresh_name, mark_maybe
+from .shared import SPACE_RUN, WorkArea, fresh_name, mark_known
 
 _WORD = f"[^{SPACE_RUN[1:-2]}]"
 
@@ -127,7 +127,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = docs.columns
     flag, key, cut, longest = (fresh_name(names, x) for x in ("maybe", "row_key", "cut", "longest"))
     per = gone.groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(cut), F.max("lcp").alias(longest))  # one document's lines
-    marked = mark_maybe(docs.withColumn(key, _row_key(id_col, text_col)), F.col(key), bitmap_filter(gone, "row"), flag=flag)
+    marked = mark_known(docs.withColumn(key, _row_key(id_col, text_col)), F.col(key), gone.select(F.col("row").alias("h")), flag)
     sure = marked.where(~F.col(flag)).select(*names, F.lit(0).alias("removed_lines"), F.lit(0).alias("longest_run"))
     other = marked.where(flag).join(per, key, "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(cut), i))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WorkArea, bitmap_filter, fresh_name, mark_maybe
+from .shared import WorkArea, fresh_name, mark_known
 from .wordhash import slices, words
 
 FEATURES = 1 << 12
@@ -253,7 +253,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[int, float], id_col: s
     key, times, one, flag = (fresh_name(names, x) for x in ("mix_key", "times", "one", "maybe"))
     rated = _rated(docs, labels, targets, id_col, text_col, fit_rows, area, on_fit)
     changed = area.table(rated.where("copies <> 1").groupBy(F.col("key").alias(key)).agg(F.first("copies").alias(times)), "changed")
-    marked = mark_maybe(docs.withColumn(key, mix_key(id_col, text_col)), F.col(key), bitmap_filter(changed, key), flag=flag)
+    marked = mark_known(docs.withColumn(key, mix_key(id_col, text_col)), F.col(key), changed.select(F.col(key).alias("h")), flag)
     same = marked.where(~F.col(flag)).select(*names)
     other = marked.where(flag).join(changed, key, "left").withColumn(times, F.coalesce(times, F.lit(1).cast("long"))).where(F.col(times) > 0)
     return same.unionByName(other.select(*names, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))).alias(one)).select(*names))
