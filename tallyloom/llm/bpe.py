@@ -284,7 +284,7 @@ def _cuts(text: str, most: int) -> list[str]:
 
 
 _CUT = re.compile(r"\S ")  # any \S of Python's is not white space in the pattern either
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 
 
 def _apart(points: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +358,7 @@ class _Worker:
         return ids, np.diff(np.append(0, total)[tokens_to], prepend=0)
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; texts go through in groups of about 4 million characters."""
+        """The ids of each text; texts go through in groups of about a million characters."""
         group: list[str] = []
         size = 0
         for text in texts:

@@ -118,7 +118,7 @@ def shingles(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     return out, per
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """Cut a batch so that a piece has at most ``most`` bytes of text, or is one row."""
     n = batch.num_rows
     if not n:
