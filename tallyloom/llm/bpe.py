@@ -33,9 +33,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import bound_batches
 from .wordhash import slices, span_hashes
 
-_CACHE_ENTRIES = 1 << 20
+_CACHE_ENTRIES = 1 << 18  # about 80 MB
 _LARGE_BUCKET = 64  # positions from which a bucket is merged by array operations
 _CACHE_LONGEST = 64  # characters of a pre-token that is worth keeping
 
@@ -399,6 +400,7 @@ def _worker(name: str) -> _Worker:
 
 def _ship(df: DataFrame, ranks_path: str) -> str:
     """Send the rank file (under 1 MB) to every executor; returns its name there."""
+    bound_batches(df.sparkSession)
     df.sparkSession.sparkContext.addFile(ranks_path)
     return ranks_path.rsplit("/", 1)[-1]
 

@@ -38,10 +38,21 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MiB, where the session has Spark's default of 64 MiB: texts may be long, and a task holds several batches."""
+    key, default, most = _BATCH_BYTES
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, most)
+
+
 class WorkArea:
     """A fresh folder below :func:`shared_root` that holds the tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
