@@ -24,46 +24,74 @@ def near_amount(a: Column, b: Column) -> Column:
     return (a != 0) & (F.abs(a - b) / F.abs(F.nullif(a, F.lit(0.0))) <= TOLERANCE)
 
 
+#: Width of an amount bucket in logarithms: two amounts within the tolerance are in one bucket or in neighbours.
+_STEP = 0.021
+
+
 def candidates(tx: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b, exact), a before b: an equi-join on currency and a bucket of days, then the tests."""
-    span = DAYS + 1
-    rows = tx.where("txn_date is not null").select("id", "txn_date", "ord", "currency", "amount_original", F.floor(F.unix_date("txn_date") / span).alias("b"))
-    left = rows.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "txn_date", "ord", "amount_original")), "currency", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
-    right = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "txn_date", "ord", "amount_original")), "currency", "b")
+    """Pairs (id_a, id_b, exact), a before b: an equi-join on currency, a bucket of days and a bucket of amounts, then the tests.
+
+    Buckets of amounts are as wide as the tolerance, so the rows that meet are in proportion to the pairs that match.
+    """
+    amount = F.col("amount_original")
+    size = F.when(amount != 0, F.floor(F.ln(F.abs(amount)) / _STEP)).otherwise(F.lit(0)).cast("long")
+    rows = tx.where("txn_date is not null and amount_original is not null").select(
+        "id", "txn_date", "ord", "currency", "amount_original", F.floor(F.unix_date("txn_date") / (DAYS + 1)).alias("b"), F.signum(amount).cast("int").alias("sign"), size.alias("k")
+    )
+    own = ("id", "txn_date", "ord", "amount_original")
+    near = F.when(F.col("sign") == 0, F.array("k")).otherwise(F.array(F.col("k") - 1, "k", F.col("k") + 1))
+    left = rows.select(*(F.col(c).alias(f"{c}_a") for c in own), "currency", "sign", "b", F.explode(near).alias("k"))
+    left = left.withColumn("b", F.explode(F.array("b", F.col("b") + 1)))
+    right = rows.select(*(F.col(c).alias(f"{c}_b") for c in own), "currency", "sign", "b", "k")
     first = F.struct("txn_date_a", "ord_a") < F.struct("txn_date_b", "ord_b")
     exact = F.col("amount_original_a") == F.col("amount_original_b")
-    near = F.datediff("txn_date_b", "txn_date_a") <= DAYS
-    met = left.join(right, ["currency", "b"]).where(first & near & (exact | near_amount(F.col("amount_original_a"), F.col("amount_original_b"))))
+    close = F.datediff("txn_date_b", "txn_date_a") <= DAYS
+    met = left.join(right, ["currency", "sign", "b", "k"]).where(first & close & (exact | near_amount(F.col("amount_original_a"), F.col("amount_original_b"))))
     return met.select("id_a", "id_b", exact.alias("exact"))
 
 
 def exact_tier(tx: DataFrame) -> DataFrame:
-    """(id, duplicate_of) by equal amounts alone: in each currency and amount, rows within three days of the anchor belong to it."""
-    rows = F.sort_array(F.collect_list(F.struct("txn_date", "ord", "id")))
-    start = F.expr("cast(struct(null as d, null as anchor, array() as out) as struct<d:date,anchor:string,out:array<struct<id:string,anchor:string>>>)")
+    """(id, duplicate_of) by equal amounts alone: in each currency and amount, rows within three days of the anchor belong to it.
+
+    The fold runs over a group's distinct dates, which are few however many rows it has; rows then join their date's anchor.
+    """
+    start = F.expr("cast(struct(null as d, null as anchor, array() as out) as struct<d:date,anchor:string,out:array<struct<d:date,anchor:string>>>)")
 
     def step(acc, x):
-        near = F.coalesce(F.datediff(x["txn_date"], acc["d"]) <= DAYS, F.lit(False))
-        out = F.when(near, F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), acc["anchor"].alias("anchor"))))).otherwise(acc["out"])
-        return F.struct(F.when(near, acc["d"]).otherwise(x["txn_date"]).alias("d"), F.when(near, acc["anchor"]).otherwise(x["id"]).alias("anchor"), out.alias("out"))
+        near = F.coalesce(F.datediff(x["d"], acc["d"]) <= DAYS, F.lit(False))
+        anchor = F.when(near, acc["anchor"]).otherwise(x["id"])
+        out = F.concat(acc["out"], F.array(F.struct(x["d"].alias("d"), anchor.alias("anchor"))))
+        return F.struct(F.when(near, acc["d"]).otherwise(x["d"]).alias("d"), anchor.alias("anchor"), out.alias("out"))
 
-    groups = tx.where("txn_date is not null").groupBy("currency", "amount_original").agg(rows.alias("rows"))
-    return groups.select(F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"]))).select("id", F.col("anchor").alias("duplicate_of"))
+    rows = tx.where("txn_date is not null and amount_original is not null").select("id", "txn_date", "ord", "currency", "amount_original")
+    days = rows.groupBy("currency", "amount_original", F.col("txn_date").alias("d")).agg(F.min_by("id", "ord").alias("id"))
+    groups = days.groupBy("currency", "amount_original").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("days"))
+    anchors = groups.select(F.col("currency").alias("c"), F.col("amount_original").alias("a"), F.inline(F.aggregate("days", start, step, lambda acc: acc["out"])))
+    met = rows.join(anchors, F.col("currency").eqNullSafe(F.col("c")) & (F.col("amount_original") == F.col("a")) & (F.col("txn_date") == F.col("d")))
+    return met.where("id <> anchor").select("id", F.col("anchor").alias("duplicate_of"))
 
 
 def islands(tx: DataFrame) -> DataFrame:
-    """``date_island`` and ``amount_island``: rows in different islands are never a pair."""
+    """``date_island`` and ``amount_island``: rows in different islands are never a pair. Null currencies are one currency; rows without date or amount are in none."""
+    rows = tx.where("txn_date is not null and amount_original is not null")
     day = Window.partitionBy("currency").orderBy("txn_date")
-    days = tx.where("txn_date is not null").select("currency", "txn_date").distinct()  # as many rows as days
+    days = rows.select("currency", "txn_date").distinct()  # as many rows as days
     cut = (F.datediff("txn_date", F.lag("txn_date").over(day)) > DAYS).cast("int")
     days = days.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("date_island", F.sum("cut").over(day)).drop("cut")
-    own = tx.join(days, ["currency", "txn_date"])
+    own = _null_safe(rows, days, ["currency", "txn_date"])
     value = Window.partitionBy("currency", "date_island").orderBy("amount_original")
     values = own.select("currency", "date_island", "amount_original").distinct()
     last = F.lag("amount_original").over(value)
     gap = F.abs(F.col("amount_original") - last) > _WIDER * F.greatest(F.abs("amount_original"), F.abs(last))
     values = values.withColumn("cut", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("amount_island", F.sum("cut").over(value)).drop("cut")
-    return own.join(values, ["currency", "date_island", "amount_original"])
+    return _null_safe(own, values, ["currency", "date_island", "amount_original"])
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which nulls are equal."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(named, same).drop(*(f"_{k}" for k in keys))
 
 
 Judge = Callable[[dict, dict], tuple[bool, str]]
@@ -89,7 +117,11 @@ def resolve(rows: list[dict], judge: Judge) -> dict[str, tuple[str | None, bool,
         if a["id"] in taken:
             continue
         for b in rows[i + 1 :]:
-            if b["id"] in taken or b["currency"] != a["currency"] or (b["txn_date"] - a["txn_date"]).days > DAYS:
+            if b["currency"] != a["currency"]:
+                continue
+            if (b["txn_date"] - a["txn_date"]).days > DAYS:
+                break  # rows are in date order
+            if b["id"] in taken:
                 continue
             if a["amount_original"] == b["amount_original"]:
                 taken.add(b["id"])
@@ -112,7 +144,7 @@ def greedy(tx: DataFrame, judge: Judge = similar_merchants) -> DataFrame:
     """(id, duplicate_of, needs_review, review_reason) of rows that are duplicates or in doubt."""
 
     def run(island: pd.DataFrame) -> pd.DataFrame:
-        rows = island.sort_values(["txn_date", "ord"]).to_dict("records")
+        rows = island.astype({"currency": object}).replace({"currency": {float("nan"): None}}).sort_values(["txn_date", "ord"]).to_dict("records")
         return pd.DataFrame([(k, *v) for k, v in resolve(rows, judge).items()], columns=["id", "duplicate_of", "needs_review", "review_reason"])
 
     cols = ["id", "txn_date", "ord", "currency", "amount_original", "merchant", "date_island", "amount_island"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,51 @@ def cache_misses(docs: DataFrame, cache: DataFrame) -> DataFrame:
     return docs.join(cache, ["source_file", "content_hash"], "left_anti")
 
 
+def last_of(df: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """One row for each key: the last by ``order`` if there is such a column, else the greatest."""
+    rest = [c for c in df.columns if c not in keys]
+    whole = F.struct(*rest)
+    one = F.max_by(whole, order) if order in df.columns else F.max(whole)
+    return df.groupBy(*keys).agg(one.alias("_one")).select(*keys, *(F.col("_one")[c].alias(c) for c in rest)) if rest else df.distinct()
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces rows of ``old`` with equal keys. Write the result to a new place, never over ``old``."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+    """The last of ``new`` replaces rows of ``old`` with equal keys. Write the result to a new place, never over ``old``."""
+    return old.join(new, keys, "left_anti").unionByName(last_of(new, keys))
+
+
+def cache_entries(tx: DataFrame, hashes: DataFrame, fields: list[str]) -> DataFrame:
+    """(source_file, content_hash, transactions_json): each document's rows in order of ``pos``, as JSON. A document without rows has an empty list.
+
+    ``hashes``: (source_file, content_hash) of the documents read; a document's rows are one statement's.
+    """
+    rows = tx.groupBy("source_file").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("rows"))
+    return hashes.join(rows, "source_file", "left").select("source_file", "content_hash", F.coalesce(F.to_json("rows"), F.lit("[]")).alias("transactions_json"))
+
+
+def cached_rows(cache: DataFrame, schema: str) -> DataFrame:
+    """(source_file, content_hash, ...): the rows of cache entries; ``schema`` is the fields' DDL without ``pos``. Malformed entries have none."""
+    rows = F.from_json("transactions_json", f"array<struct<pos:int,{schema}>>")
+    return cache.select("source_file", "content_hash", F.inline(F.coalesce(rows, F.array())))
+
+
+def normalize(docs: DataFrame, cache: DataFrame, extract, schema: str, fields: list[str]) -> DataFrame:
+    """Rows of all documents: cached ones from the cache, the others by ``extract``, which sees no others."""
+    known = docs.select("source_file", "content_hash")
+    old = cached_rows(cache.join(known, ["source_file", "content_hash"], "left_semi"), schema)
+    missing = cache_misses(docs, cache)
+    fresh = extract(missing).join(missing.select("source_file", "content_hash"), "source_file")
+    return old.unionByName(fresh.select("source_file", "content_hash", F.col("pos").cast("int").alias("pos"), *fields))
+
+
+def with_row_id(tx: DataFrame) -> DataFrame:
+    """``id`` from the document's name, its content and the row's place: the same on every run."""
+    return tx.withColumn("id", F.sha2(F.concat_ws("|", "source_file", "content_hash", F.col("pos").cast("string")), 256))
+
+
+def with_date(tx: DataFrame) -> DataFrame:
+    """``txn_date`` from the ISO text in ``date``, null if it is none; such rows ask for review and are never matched."""
+    return tx.withColumn("txn_date", F.expr("try_to_date(date, 'yyyy-MM-dd')"))
 
 
 # Currency.
@@ -44,10 +87,36 @@ def rates_needed(tx: DataFrame, base: str) -> DataFrame:
     return tx.where(F.col("currency") != base).select("date", "currency").distinct()
 
 
+def complete_rates(tx: DataFrame, cache: DataFrame, base: str, provider) -> DataFrame:
+    """``cache`` and the missing rates that ``provider`` finds: a function of (date, currency, base) to a rate or null.
+
+    It is called once for each missing pair of date and currency; a call that fails gives no rate. Write the result down before
+    use, so that calls are not repeated.
+    """
+    have = cache.where(F.col("to_currency") == base).select("date", F.col("from_currency").alias("currency"))
+    missing = rates_needed(tx, base).join(have, ["date", "currency"], "left_anti")
+
+    def fetch(batches):
+        for rows in batches:
+            found = []
+            for date, currency in zip(rows["date"], rows["currency"], strict=True):
+                try:
+                    rate = provider(date, currency, base)
+                except Exception:
+                    rate = None
+                if rate is not None:
+                    found.append((date, currency, base, float(rate)))
+            yield pd.DataFrame(found, columns=["date", "from_currency", "to_currency", "rate"])
+
+    kind = dict(cache.dtypes)["date"]
+    return cache.select("date", "from_currency", "to_currency", "rate").unionByName(missing.mapInPandas(fetch, f"date {kind}, from_currency string, to_currency string, rate double"))
+
+
 def convert(tx: DataFrame, rates: DataFrame, base: str) -> DataFrame:
     """``amount_base``: the amount itself in the base currency, else rounded to cents by the day's rate; null without one. Rates of zero are missing."""
     r = rates.where(F.col("to_currency") == base).select("date", F.col("from_currency").alias("currency"), F.nullif("rate", F.lit(0.0)).alias("rate"))
-    converted = F.round(F.col("amount_original").cast("decimal(18,2)") * F.col("rate").cast("decimal(18,8)"), 2).cast("double")
+    r = last_of(r, ["date", "currency"])
+    converted = F.round(F.col("amount_original").cast("decimal(24,8)") * F.col("rate").cast("decimal(14,8)"), 2).cast("double")
     return tx.join(r, ["date", "currency"], "left").withColumn("amount_base", F.when(F.col("currency") == base, F.col("amount_original")).otherwise(converted))
 
 
@@ -62,9 +131,32 @@ def prompt_lines(tx: DataFrame) -> DataFrame:
     return tx.withColumn("line", F.concat_ws(" | ", "id", "merchant", F.concat_ws(" ", F.col("amount_original").cast("string"), "currency")))
 
 
+#: Keywords of the default categorizer, for merchants in lower case.
+KEYWORDS = {
+    "supermarket": "Groceries", "grocery": "Groceries", "market": "Groceries", "restaurant": "Dining", "coffee": "Dining", "cafe": "Dining", "pizza": "Dining",
+    "taxi": "Transport", "uber": "Transport", "fuel": "Transport", "parking": "Transport", "electric": "Utilities", "water": "Utilities", "internet": "Utilities", "phone": "Utilities",
+    "pharmacy": "Healthcare", "clinic": "Healthcare", "hospital": "Healthcare", "cinema": "Entertainment", "music": "Entertainment", "streaming": "Entertainment",
+    "hotel": "Travel", "airline": "Travel", "flight": "Travel", "course": "Education", "university": "Education", "transfer": "Transfer", "fee": "Fees & Charges",
+    "salary": "Salary", "payroll": "Salary", "freelance": "Freelance", "interest": "Other Income", "rent": "Rent", "store": "Shopping", "shop": "Shopping",
+}
+
+
+def keyword_category(merchant: Column, keywords: dict[str, str] = KEYWORDS) -> Column:
+    """The category of the longest keyword in the merchant's name, of equally long ones the first by name; null if there is none."""
+    out, name = F.lit(None).cast("string"), F.lower(merchant)
+    for word in sorted(keywords, key=lambda w: (-len(w), w), reverse=True):
+        out = F.when(name.contains(word), keywords[word]).otherwise(out)
+    return out
+
+
+def in_taxonomy(category: Column) -> Column:
+    """Whether a category is one of the list; assigning doesn't ask this."""
+    return category.isin(*CATEGORIES)
+
+
 def assign_categories(tx: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (id, category); none, null or "null" asks for review. The list of categories isn't enforced."""
-    own = answers.select("id", F.col("category").alias("answer"))
+    own = last_of(answers.select("id", F.col("category").alias("answer"), *(c for c in ("pos",) if c in answers.columns)), ["id"]).select("id", "answer")
     missing = F.col("answer").isNull() | (F.col("answer") == "null")
     return tx.join(own, "id", "left").select(
         *tx.columns, F.when(~missing, F.col("answer")).alias("category"), missing.alias("needs_review"), F.when(missing, NOT_CONFIDENT).alias("review_reason")
@@ -73,9 +165,16 @@ def assign_categories(tx: DataFrame, answers: DataFrame) -> DataFrame:
 
 def fail_batches(tx: DataFrame, replies: DataFrame) -> DataFrame:
     """All rows of a batch whose reply (batch, ok) did not parse ask for review."""
+    replies = replies.groupBy("batch").agg(F.every("ok").alias("ok"))  # a batch with a failed reply has failed
     return tx.join(replies, "batch", "left").withColumn("needs_review", ~F.coalesce("ok", F.lit(False))).withColumn("review_reason", F.when(F.col("needs_review"), BATCH_FAILED)).drop("ok")
 
 
+def flag_by_replies(tx: DataFrame, reasons: DataFrame) -> DataFrame:
+    """``suspicious`` and ``suspicious_reason`` from answers (id, reason), of several for an id the last."""
+    own = last_of(reasons, ["id"]).select("id", F.col("reason").alias("suspicious_reason"), F.lit(True).alias("suspicious"))
+    return tx.join(own, "id", "left").withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
+
+
 # Suspicion: the first rule that holds gives the reason.
 
 def same_day_charges() -> Column:
@@ -131,7 +230,7 @@ def review_queue(tx: DataFrame) -> DataFrame:
 
 def apply_decisions(tx: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (id, checked); an unchecked one rejects."""
-    own = decisions.select("id", F.when(F.col("checked"), "confirmed").otherwise("rejected").alias("review_status"))
+    own = last_of(decisions, ["id"]).select("id", F.when(F.col("checked"), "confirmed").otherwise("rejected").alias("review_status"))
     return tx.join(own, "id", "left")
 
 
@@ -159,10 +258,32 @@ def statement_summary(tx: DataFrame, key: str) -> DataFrame:
     return tx.groupBy(key).agg(F.count(F.lit(1)).alias("n"), part(cents).alias("net"), part(F.when(cents > 0, cents)).alias("credits"), part(F.when(cents < 0, cents)).alias("debits"))
 
 
-def display(tx: DataFrame) -> DataFrame:
+def account_short(title: Column, names: dict[str, str]) -> Column:
+    """The short name of the first key that the title contains, else the title."""
+    out = title
+    for part, short in reversed(names.items()):
+        out = F.when(title.contains(part), short).otherwise(out)
+    return out
+
+
+def reference_number(number: Column) -> Column:
+    return F.format_string("REF%04d", number)
+
+
+def money(amount: Column) -> Column:
+    """With sign, thousands marks and cents."""
+    return F.format_string("%+,.2f", amount)
+
+
+def by_date(tx: DataFrame) -> DataFrame:
+    """In date order, for presentation."""
+    return tx.orderBy("txn_date", "ord")
+
+
+def display(tx: DataFrame, show_id: bool = True) -> DataFrame:
     flags = F.concat_ws(" ", F.when(F.col("duplicate_of").isNotNull(), "D"), F.when(F.col("suspicious"), "S"), F.when(F.col("needs_review"), "R"))
     return tx.select(
-        F.concat(F.substring("id", 1, 8), F.lit("…")).alias("short_id"), "id", "date", "merchant", "amount_original", "currency", F.coalesce("category", F.lit("—")).alias("category"), "account", flags.alias("flags")
+        F.concat(F.substring("id", 1, 8), F.lit("…")).alias("short_id"), *(["id"] if show_id else []), "date", "merchant", "amount_original", "currency", F.coalesce("category", F.lit("—")).alias("category"), "account", flags.alias("flags")
     )
 
 

@@ -183,6 +183,64 @@ def _monthly(s: SparkSession, d: str) -> DataFrame:
     return week.select("category", "week", F.col("spent").cast("double").alias("spent"), (F.col("spent") - F.lag("spent").over(w)).cast("double").alias("change"))
 
 
+#: Keywords for event types: of two that fit, the longer decides.
+EVENT_KEYWORDS = {"sign": "Other Income", "signup": "Salary", "purchase": "Shopping", "click": "Entertainment", "err": "Fees & Charges"}
+
+
+def _keywords(s: SparkSession, d: str) -> DataFrame:
+    tx = transactions(s, d)
+    named = tx.select("id", ledger.keyword_category(F.col("merchant"), EVENT_KEYWORDS).alias("category"))
+    return ledger.assign_categories(tx.select("id"), named)
+
+
+def _transaction_replies(s: SparkSession, d: str) -> DataFrame:
+    """A reply of two rows for each event; every seventh is malformed."""
+    row = F.struct("date", "amount_original", "currency", "merchant")
+    reply = F.when(F.col("ord") % 7 == 0, "[{").otherwise(F.to_json(F.array(row, row)))
+    tx = transactions(s, d).select("id", reply.alias("reply"))
+    out = replies.items(tx, "reply", replies.TRANSACTIONS)
+    return out.select("id", F.col("pos._at").alias("pos"), "date", "amount_original", "amount_base", "currency", "merchant")
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("ord") % 6
+    said = lambda same, sure: f'{{"is_duplicate":{same},"confidence":"{sure}","reason":"r"}}'
+    reply = F.when(k == 0, said("true", "high")).when(k == 1, said("false", "low")).when(k == 2, said("false", "high")).when(k == 3, "not json").when(k == 4, said("true", "low"))
+    return transactions(s, d).select("id", replies.verdict(reply).alias("v")).select("id", "v.*")
+
+
+def _by_reply(s: SparkSession, d: str) -> DataFrame:
+    """Two batches of answers; the second overwrites the first."""
+    tx = transactions(s, d)
+    said = lambda what: F.to_json(F.array(F.struct("id", F.lit(what).alias("reason"))))
+    first = tx.where("ord % 3 = 0").select(F.lit(1).alias("batch"), said("first").alias("reply"))
+    second = tx.where("ord % 6 = 0").select(F.lit(2).alias("batch"), said("second").alias("reply"))
+    answers = replies.items(first.unionByName(second), "reply", replies.REASONS, "batch")
+    return ledger.flag_by_replies(tx.select("id"), answers.select("id", "reason", "pos"))
+
+
+_FIELDS = "date string, amount_original double, currency string, merchant string"
+
+
+def _statement_rows(s: SparkSession, d: str) -> DataFrame:
+    """Each account's rows as a statement, numbered by event; the content's hash stands for its content."""
+    return transactions(s, d).select(F.col("account").alias("source_file"), F.sha2("account", 256).alias("content_hash"), F.col("ord").cast("int").alias("pos"), *(f.split(" ")[0] for f in _FIELDS.split(", ")))
+
+
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    """Half of the statements come from the cache, where they were put as JSON; the others are read."""
+    rows = _statement_rows(s, d)
+    docs, fields = rows.select("source_file", "content_hash").distinct(), [f.split(" ")[0] for f in _FIELDS.split(", ")]
+    old = docs.where("length(source_file) % 2 = 0")
+    cache = ledger.cache_entries(rows.join(old, ["source_file", "content_hash"], "left_semi"), old, fields)
+    fresh = lambda missing: rows.drop("content_hash").join(missing, "source_file", "left_semi")
+    return ledger.with_row_id(ledger.normalize(docs, cache, fresh, _FIELDS, fields))
+
+
+def _completed(s: SparkSession, d: str) -> DataFrame:
+    return ledger.complete_rates(transactions(s, d), rates(s, d), BASE, lambda date, currency, base: 0.025 if date[-1] != "5" else None)
+
+
 _MERGED_COLS = "id, duplicate_of, suspicious, suspicious_reason, category, needs_review, review_reason"
 _TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ingest_raw_documents": _q(DOCS_SQL, _docs, False),
@@ -248,6 +306,40 @@ _TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "cache_hits": _q(f"SELECT source_file, sha256(content) AS content_hash FROM ({DOCS_SQL}) WHERE length(source_file) % 2 = 0", lambda s, d: ledger.cache_hits(ledger.with_hash(_docs(s, d)), _cache(s, d)).select("source_file", "content_hash"), False),
     "cache_misses": _q(f"SELECT source_file, sha256(content) AS content_hash FROM ({DOCS_SQL}) WHERE length(source_file) % 2 = 1", lambda s, d: ledger.cache_misses(ledger.with_hash(_docs(s, d)), _cache(s, d)).select("source_file", "content_hash"), False),
 }
+_TABLE |= {
+    "categorize_keywords": _q(
+        f"""SELECT id, c AS category, c IS NULL AS needs_review, CASE WHEN c IS NULL THEN '{ledger.NOT_CONFIDENT}' END AS review_reason FROM (
+            SELECT id, CASE WHEN contains(merchant, 'purchase') THEN 'Shopping' WHEN contains(merchant, 'signup') THEN 'Salary' WHEN contains(merchant, 'click') THEN 'Entertainment'
+            WHEN contains(merchant, 'sign') THEN 'Other Income' WHEN contains(merchant, 'err') THEN 'Fees & Charges' END AS c FROM tx)""",
+        _keywords,
+    ),
+    "parse_transaction_replies": _q(
+        "SELECT id, CAST(k AS INTEGER) AS pos, date, amount_original, CAST(NULL AS DOUBLE) AS amount_base, currency, merchant FROM tx, range(2) r(k) WHERE ord % 7 <> 0", _transaction_replies
+    ),
+    "parse_verdict_replies": _q(
+        """SELECT id, ord % 6 IN (0, 4) AS is_duplicate, ord % 6 IN (1, 3, 5) AS needs_review,
+           CASE WHEN ord % 6 = 1 THEN 'r' WHEN ord % 6 IN (3, 5) THEN 'Duplicate check failed' END AS reason FROM tx""",
+        _verdicts,
+    ),
+    "suspicious_by_reply": _q(
+        "SELECT id, CASE WHEN ord % 6 = 0 THEN 'second' WHEN ord % 3 = 0 THEN 'first' END AS suspicious_reason, ord % 3 = 0 AS suspicious FROM tx", _by_reply
+    ),
+    "normalized_rows": _q(
+        """SELECT sha256(account || '|' || sha256(account) || '|' || ord) AS id, account AS source_file, sha256(account) AS content_hash, CAST(ord AS INTEGER) AS pos,
+           date, amount_original, currency, merchant FROM tx""",
+        _normalized,
+    ),
+    "fx_completed": _q(
+        """SELECT date, from_currency, to_currency, CAST(rate AS DOUBLE) AS rate FROM rates
+           UNION ALL SELECT DISTINCT date, currency, 'USD', CAST(0.025 AS DOUBLE) FROM tx WHERE currency <> 'USD' AND right(date, 1) <> '5' AND date NOT IN (SELECT date FROM rates)""",
+        _completed,
+    ),
+    "view_without_id": _q(
+        f"SELECT * EXCLUDE (id), CASE WHEN contains(account, 'ACCT-1') THEN 'first' WHEN contains(account, '7') THEN 'seven' ELSE account END AS short_account, printf('%+,.2f', amount_original) AS money FROM ({_view_sql('')})",
+        lambda s, d: ledger.display(merged(s, d), show_id=False).withColumns({"short_account": ledger.account_short(F.col("account"), {"ACCT-1": "first", "7": "seven"}), "money": ledger.money(F.col("amount_original"))}),
+    ),
+    "reference_numbers": _q("SELECT id, printf('REF%04d', ord) AS reference, try_cast(date AS DATE) AS txn_date FROM tx", lambda s, d: ledger.with_date(transactions(s, d).drop("txn_date")).select("id", ledger.reference_number(F.col("ord")).alias("reference"), "txn_date")),
+}
 #: What follows the duplicates, over both tiers. The queries of the same names without the ending are the exact tier alone, as their SQL says.
 _GREEDY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_entries": lambda s, d: duplicates.entries(transactions(s, d), _greedy(s, d).select("id", "duplicate_of")).select("member", "id", "amount_original"),

@@ -69,7 +69,7 @@ def test_categories_and_failed_batches(spark):
 def test_replies(spark):
     df = spark.createDataFrame([('[{"id":"a","category":"X"}]',), ("not valid json",), (None,)], "r string").select(replies.parse(F.col("r"), replies.CATEGORIES).alias("p"))
     assert [None if r.p is None else len(r.p) for r in df.collect()] == [1, None, 0]
-    last = replies.last_by_id(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, n int, category string"), "n").collect()
+    last = ledger.last_of(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, n int, category string"), ["id"], "n").collect()
     assert [r.category for r in last] == ["y"]
 
 
@@ -103,5 +103,81 @@ def test_workbooks_to_transactions(spark, tmp_path):
     assert [(r.date, r.amount_original, r.merchant, r.account) for r in got] == [("2026-01-02", -1420.5, "Shop", "C1")]
     with pytest.raises(FileNotFoundError):
         documents.load_workbooks(spark, str(tmp_path / "none"))
-    with pytest.raises(ValueError):
+    with pytest.raises(FileNotFoundError):
         documents.require_documents(good.limit(0))
+
+
+def test_repeated_answers_rates_and_decisions_keep_one_row(spark):
+    tx = spark.createDataFrame([("a", "2026-01-01", "UYU", 10.125)], "id string, date string, currency string, amount_original double")
+    rates = spark.createDataFrame([("2026-01-01", "UYU", "USD", 2.0)] * 2, "date string, from_currency string, to_currency string, rate double")
+    assert [r.amount_base for r in ledger.convert(tx, rates, "USD").collect()] == [20.25]  # the product is rounded, not the amount
+    answers = spark.createDataFrame([("a", "X", 1), ("a", "Y", 2)], "id string, category string, pos int")
+    assert [r.category for r in ledger.assign_categories(tx, answers).collect()] == ["Y"]
+    decisions = spark.createDataFrame([("a", True), ("a", True)], "id string, checked boolean")
+    assert [r.review_status for r in ledger.apply_decisions(tx, decisions).collect()] == ["confirmed"]
+    rule = tx.select(*(ledger.keyword_category(F.lit(m)).alias(m) for m in ("Coffee Store", "RENT", "Nothing")))
+    assert [list(r) for r in rule.collect()] == [["Dining", "Rent", None]]
+
+
+def loop(rows):
+    """The rule, straight from its statement, over all rows."""
+    taken, out = set(), {}
+    for i, (a_id, a_day, _, a_cur, a) in enumerate(rows):
+        if a_id in taken:
+            continue
+        for b_id, b_day, _, b_cur, b in rows[i + 1 :]:
+            if b_id not in taken and a_cur == b_cur and (b_day - a_day).days <= 3 and a == b:
+                taken.add(b_id)
+                out[b_id] = a_id
+    return out
+
+
+def test_duplicates_of_null_currency_and_many_rows_a_day(spark):
+    import datetime
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"t{k}", datetime.date(2026, 1, 1) + datetime.timedelta(days=rng.randrange(20)), k, rng.choice(["USD", None]), rng.choice([-5.0, 7.0, 0.0])) for k in range(400)]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    tx = spark.createDataFrame(rows, "id string, txn_date date, ord long, currency string, amount_original double").withColumn("merchant", F.lit("m"))
+    want = loop(rows)
+    assert {r.id: r.duplicate_of for r in duplicates.exact_tier(tx).collect()} == want
+    assert {r.id: r.duplicate_of for r in duplicates.greedy(tx).collect()} == want
+
+
+def test_documents_of_a_folder(spark, tmp_path):
+    import zlib
+
+    body = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Fecha Importe) Tj 0 -14 Td [(2026-01-02 ) -5 (\\(x\\) -50.00)] TJ ET")
+    pdf = b"%PDF-1.4\n1 0 obj <</Length " + str(len(body)).encode() + b" /Filter /FlateDecode>>\nstream\n" + body + b"\nendstream\nendobj\n%%EOF"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.pdf").write_bytes(pdf)
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    (tmp_path / "c.xls").write_bytes(b"no zip")
+    got = {r.filename: r for r in documents.load_documents(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"].content == "Fecha Importe\n2026-01-02 (x) -50.00" and got["a.pdf"].file_type == "pdf"
+    assert got["b.pdf"].error and got["c.xls"].error
+    read = documents.load_documents(spark, str(tmp_path), readers={"xls": lambda data: [["Date", "Amount"], ["2026-01-02", data.decode()]]})
+    assert [r.content for r in read.where("filename = 'c.xls'").collect()] == ["| Date | Amount |\n| --- | --- |\n| 2026-01-02 | no zip |"]
+
+
+def test_cells_with_pipes_and_line_breaks(spark):
+    text, columns, n = documents.markdown([["Date", "Description", "Amount"], ["2026-01-02", "A|B\\\nC", "-1,000.50"]])
+    got = documents.parse_statement(spark.createDataFrame([("f", text), ("f", text)], "source_file string, content string")).collect()
+    assert [(r.merchant, r.amount_original) for r in got] == [("A|B\\ C", -1000.5)] * 2 and n == 1
+
+
+def test_store(spark, tmp_path):
+    from tallyloom.sources import store
+
+    path = str(tmp_path / "rates")
+    assert store.open_table(spark, path, store.RATES).isEmpty()
+    new = spark.createDataFrame([("2026-01-01", "UYU", "USD", 0.02)], store.RATES)
+    store.replace(ledger.upsert(store.open_table(spark, path, store.RATES), new, ["date", "from_currency", "to_currency"]), path)
+    store.replace(ledger.upsert(store.open_table(spark, path, store.RATES), new.withColumn("rate", F.lit(0.5)), ["date", "from_currency", "to_currency"]), path)
+    store.prune(spark, path, 1)
+    assert [r.rate for r in store.open_table(spark, path, store.RATES).collect()] == [0.5]
+    store.snapshot(new, "r1", str(tmp_path))
+    assert store.resume(spark, "r1", str(tmp_path)).collect() == new.collect()
+    store.write_report(spark.createDataFrame([("a\nb",)], "report string"), str(tmp_path / "report"))
+    assert "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "report")).collect()).strip() == "a\nb"
