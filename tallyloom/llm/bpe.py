@@ -406,7 +406,8 @@ def _ship(df: DataFrame, ranks_path: str) -> str:
 
 
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col``: binary, the ids as little-endian unsigned 32-bit integers."""
+    """``docs`` with ``out_col``: binary, the ids as little-endian unsigned 32-bit integers. A column of that name is replaced."""
+    docs = docs.drop(out_col)
     name, names = _ship(docs, ranks_path), docs.columns
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(out_col, T.BinaryType())])
     at = names.index(text_col)
@@ -422,7 +423,8 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", out_col: st
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out_col``: binary, the bytes that the ids stand for."""
+    """``encoded`` with ``out_col``: binary, the bytes that the ids stand for. A column of that name is replaced."""
+    encoded = encoded.drop(out_col)
     name, names = _ship(encoded, ranks_path), encoded.columns
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in encoded.schema), T.StructField(out_col, T.BinaryType())])
     at = names.index(ids_col)

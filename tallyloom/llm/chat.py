@@ -12,7 +12,7 @@ gets a backslash after its first character, which :func:`unescape` takes back; s
 holds a control string. The loss mask is a list of spans, one for each assistant text.
 
 Defined results. Null text and null role are empty strings. A message whose parent does not exist is a root. A message without an id is left out of
-trees; a cycle has no leaf and so no path. Messages with the same id in a tree must not occur: number them first (:func:`linear_tree` does).
+trees; a cycle has no leaf and so no path. Of several messages with one id in a tree the least by (parent, role, text, score) counts, nulls first.
 Ties in score go to the smaller leaf id. Extra columns are ignored.
 """
 
@@ -92,7 +92,11 @@ def reply_paths(messages: DataFrame, area: WorkArea, best: int = 1, most_rounds:
 
     ``messages``: conv, msg, parent, role, text, score.
     """
-    base = area.table(messages.where("msg is not null").withColumn("tree", F.coalesce(F.col("conv").cast("string"), F.lit("\0null"))), "messages")
+    named = messages.where("msg is not null").withColumn("tree", F.coalesce(F.col("conv").cast("string"), F.lit("\0null")))
+    one = named.groupBy("tree", "msg").agg(F.min(F.struct("parent", "role", "text", "score", "conv")).alias("m"))  # the least of repeated ids
+    base = area.table(one.select("tree", "msg", "m.*"), "messages")
+    longest = base.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most_rounds = min(most_rounds, longest.bit_length() + 1)  # what is unfinished then runs in a cycle
     ids = base.select("tree", "msg")
     up = base.select("tree", "msg", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
     up = up.join(ids.select("tree", F.col("msg").alias("up"), F.lit(True).alias("there")), ["tree", "up"], "left")

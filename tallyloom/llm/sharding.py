@@ -97,14 +97,15 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
 def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 7, place: tuple[str, ...] | None = None, area: WorkArea | None = None) -> DataFrame:
     """``docs`` (the columns in ``place``, default all) with ``shard`` int and ``slot`` long, exchanged.
 
-    Rows of a shard have slots 0 to its size - 1, dealt over the exchange's partitions in blocks of slots.
+    Columns with these two names are replaced. Rows of a shard have slots 0 to its size - 1, dealt over the exchange's partitions in blocks of slots.
     """
     if shards < 1:
         raise ValueError("shards is at least 1")
     spark = docs.sparkSession
     area = area or WorkArea(spark, "sharding")
-    names = list(place or docs.columns)
-    part, idx, shard, slot = (fresh_name(names, x) for x in ("part", "idx", "shard", "slot"))
+    shard, slot = "shard", "slot"
+    names = [c for c in place or docs.columns if c.lower() not in (shard, slot)]
+    part, idx = (fresh_name(names, x) for x in ("part", "idx"))
     row = F.monotonically_increasing_id()  # partition in the high 31 bits, index in the low 33
     placed = docs.select(*names, row.alias(idx)).withColumns({part: F.shiftright(idx, 33), idx: F.col(idx).bitwiseAND((1 << 33) - 1)})
     placed = area.table(placed, "placed")

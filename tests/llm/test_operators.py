@@ -188,6 +188,8 @@ def test_chat_template_and_trees(spark):
     deep = spark.createDataFrame(chain, "conv long, msg long, parent long, role string, text string, score double")
     got = {r.conv: [t.text for t in r.turns] for r in chat.reply_paths(deep, WorkArea(spark, "t"), most_rounds=12).collect()}
     assert got == {c: [f"{c} {k}" for k in range(1, n + 1)] for c, n in ((1, 37), (2, 1), (3, 8))}  # a cycle has no leaf
+    twice = deep.unionByName(deep).unionByName(deep.withColumn("text", F.lit("zzz")))
+    assert {r.conv: [t.text for t in r.turns] for r in chat.reply_paths(twice, WorkArea(spark, "t")).collect()} == got  # of one id, the least message
 
 
 def test_chat_query(spark):
@@ -205,19 +207,59 @@ def test_chat_query(spark):
         assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
-def test_line_runs(spark):
+def cut_by_brute_force(texts, least):
+    """(text, removed, longest): all pairs of places; texts in the order of their ids."""
+    seqs = [[(k, x) for k, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
+    places = [(d, p) for d, s in enumerate(seqs) for p in range(len(s))]
+
+    def lcp(a, b):
+        n = 0
+        while a[1] + n < len(seqs[a[0]]) and b[1] + n < len(seqs[b[0]]) and seqs[a[0]][a[1] + n][1] == seqs[b[0]][b[1] + n][1]:
+            n += 1
+        return n
+
+    gone = {}
+    for b in places:
+        shared = [(lcp(a, b), a) for a in places if a != b]
+        most = max((n for n, _ in shared), default=0)
+        originals = [a for n, a in shared if n >= least and a < b]
+        if not originals:
+            continue
+        a = min(originals)
+        low = max(b[1], a[1] + least) if a[0] == b[0] else b[1]
+        for p in range(low, b[1] + least):
+            gone[b[0], p] = max(gone.get((b[0], p), 0), most)
+    out = []
+    for d, t in enumerate(texts):
+        cut = {seqs[d][p][0] for e, p in gone if e == d}
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut) if cut else t
+        out.append((kept, len(cut), max((n for (e, _), n in gone.items() if e == d), default=0)))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_line_runs_equal_brute_force(spark, least):
+    rng = random.Random(least)
+    runs = [[f"line {rng.randrange(60)} x" for _ in range(rng.randint(1, 6))] for _ in range(6)]
+    texts = [None, "", "\n\n", "a\nb\na\nb\na\nb", "same\nsame\nsame"]
+    for k in range(40):
+        t = [f"own {k}"]
+        for _ in range(rng.randint(0, 4)):
+            t += rng.choice([rng.choice(runs), [f"line {rng.randrange(60)} x"], [""], [f"own {k} {rng.random()}"]])
+        texts.append("\n".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.removed_lines, r.longest_run) for r in line_runs.drop_repeated_runs(docs, least_lines=least).collect()}
+    assert [got[k] for k in range(len(texts))] == cut_by_brute_force(texts, least)
+
+
+def test_line_runs_rows(spark):
     run = "first line here\n\nsecond line here\nthird"
-    rows = [(1, f"own a\n{run}\nend a"), (2, f"own b\n{run}\nend b"), (3, "first line here\nother"), (4, None), (5, "p\nq\np\nq\np\nq"), (None, run), (2, f"own b\n{run}\nend b")]
-    got = {r.doc_id: r for r in line_runs.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None
-    assert got[2].text == "own b\n\nend b" and got[2].longest_run == 3
-    assert got[None].text == "" and got[5].text == "p\nq"
-    long = " ".join(f"w{k}" for k in range(51))
-    rows = [(1, f"own a\n{long}\nend a"), (2, f"own b\n{long}\nend b"), (3, f"{long[3:]}\nc"), (4, f"{long[3:]}\nd"), (5, f"{long}\n{long}\nown e")]
-    got = {r.doc_id: (r.text, r.longest_run) for r in line_runs.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (rows[0][1], 0), 2: ("own b\nend b", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0), 5: ("own e", 1)}  # 50 words are not over 50
-    empty = spark.createDataFrame([], "doc_id long, text string")
-    assert line_runs.drop_repeated_runs(empty).isEmpty()
+    rows = [(1, f"own a\n{run}\nend a"), (2, f"own b\n{run}\nend b"), (4, None), (None, run), (2, f"own b\n{run}\nend b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as removed_lines", "1 as longest_run")
+    got = {r.doc_id: r for r in line_runs.drop_repeated_runs(docs).collect()}
+    assert got[1].text == rows[0][1] and got[4].text is None and got[2].text == "own b\n\nend b" and got[2].longest_run == 3 and got[2].removed_lines == 3
+    assert got[None].text == ""
+    assert line_runs.drop_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
 def test_mixing(spark):
@@ -295,3 +337,58 @@ def test_extra_columns_of_any_name(spark):
         assert {r.doc_id for r in got} == kept, name
         for r in got:
             assert all(r[c] == f"{c}-{r.doc_id}" for c in CLASHES), name
+
+
+def test_columns_with_the_operators_own_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "i", "d", "s", 5)], "doc_id long, text string, ids string, decoded string, shard string, slot int")
+    (r,) = bpe.decode(bpe.encode(docs, RANKS), RANKS).collect()
+    assert len(r.ids) % 4 == 0 and bytes(r.decoded) == b"a b"
+    (r,) = sharding.shuffle_into_shards(docs, 1).collect()
+    assert (r.shard, r.slot, r.ids) == (0, 0, "i")
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[bin(k).count("1") & 1 ^ flip] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_one_value_under_polynomial_hashes(spark, n):
+    """The Thue-Morse word and its complement have one value under every polynomial modulo 2**64."""
+    x, y = thue_morse(n), thue_morse(n, 1)
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"p q r s {x}"), (4, f"p q r s {y}"), (5, f"{x} {x}")], "doc_id long, text string").coalesce(1)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    for r in bpe.encode(docs, RANKS).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text)
+    assert all(r.kept for r in near_dedup.near_dedup(docs).collect())
+    model = ngram_lm.train(docs.where("doc_id in (1, 3)"))
+    known = {r.doc_id: r.n_known for r in ngram_lm.score(docs, model).collect()}
+    assert known == {1: 2, 2: 1, 3: 6, 4: 5, 5: 3}
+
+
+def test_groups_of_one_hash_are_told_apart_by_their_text(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda points, starts, stops: (stops - starts).astype(np.uint64))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    texts = ["the cat sat", "hat bat the", "", "a b c"]
+    for t, ids in zip(texts, bpe._Worker(RANKS).ids(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(t)
+
+
+def test_near_dedup_branches_and_links_families(spark):
+    """Families larger than a leaf, with members that are near to the family but not linked; against all pairs."""
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    rows = []
+    for f in range(3):
+        base = [rng.choice(vocabulary) for _ in range(100)]
+        for _ in range(130):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 5, 8])):
+                w[rng.randrange(100)] = rng.choice(vocabulary)
+            rows.append(" ".join(w))
+    shared = " ".join(rng.choice(vocabulary) for _ in range(40))
+    rows += [shared + " " + " ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    want = components(docs.collect())
+    for sizes in ({"leaf": 48, "block": 16, "depth": 3}, {}):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs, **sizes).collect())
+        assert sum((got & want).values()) >= (0.99 if sizes else 1) * len(rows)
