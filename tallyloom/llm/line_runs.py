@@ -100,11 +100,11 @@ def suffix_array(levels: list[DataFrame], area: WorkArea) -> DataFrame:
     return area.table(out, "suffixes")
 
 
-_CHUNK_BITS = 16
+_CHUNK_BITS = 12
 
 
 def last_start(marks: DataFrame, area: WorkArea, level: int = 0) -> DataFrame:
-    """(i, start): the greatest non-null ``start`` up to each ``i``. Chunks of 65,536 places are filled each by itself, and what they hand on is filled in the same way."""
+    """(i, start): the greatest non-null ``start`` up to each ``i``. Chunks of 4,096 places are filled each by itself, and what they hand on is filled in the same way."""
     own = Window.partitionBy("chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     filled = marks.withColumn("chunk", F.shiftright("i", _CHUNK_BITS)).withColumn("start", F.max("start").over(own))
     filled = area.table(filled, f"filled-{level}")

@@ -1,10 +1,10 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark and memory-mapped by the workers.
 
 Method. Each task turns its texts into 64-bit word values and pre-aggregates its bigrams; sorted
-blocks of (context, word, count) are exchanged by a hash of the context. Each shard then holds
-all bigrams of its contexts, so it merges the blocks, writes them as a sorted hash array and emits
+blocks of (context, word, count) are exchanged by a hash of the bigram, so that a context that a third of the text has is
+spread over all shards. Each shard merges the blocks, writes its bigrams as a sorted hash array and emits
 two partial sums for each word: the number of contexts it follows, and as a context how many words
-follow it once, twice, or more. A second exchange by word adds the word's own count and writes the
+follow it once, twice, or more. A bigram is in one shard alone, so these sums add up. A second exchange by word adds the word's own count and writes the
 word table. Count-of-counts give the discounts. Scoring maps the files into memory: a batch's distinct
 words and bigrams are sorted and looked up by binary search in the arrays.
 
@@ -13,8 +13,8 @@ the number of distinct contexts before w and V the number of distinct words. Unk
 the last term, so the probabilities of a context add up to one over known words plus one unknown.
 
 The order is two: on text whose longer word runs are nearly all unique, a trigram table is as long
-as the corpus. A bigram's stored key is its shard, 16 bits of bucket and 32 bits of remainder, so a bigram that
-was not seen is taken for another with a chance of about 1 in 10**8. Words are told apart by 64 bits.
+as the corpus. A bigram's stored key is its shard, 16 bits of bucket and 32 bits of remainder; seen bigrams that share these are listed
+with whole keys, and a bigram that was not seen is taken for another with a chance of about 1 in 10**8. Words and bigrams are told apart by 64 bits.
 
 Model size follows the corpus: 5 bytes a distinct bigram. A file is at most a shard's bigrams. Where the shared
 folder is a local mount, files are mapped in place; elsewhere a worker fetches them to an unlinked temporary file first.
@@ -139,7 +139,7 @@ def _count_blocks(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         n = np.diff(np.append(first, len(pair)))
         pair = pair[first]
         c, w = names[pair >> 32], ends[pair & 0xFFFFFFFF]
-        to = _shard_of(c, shards)
+        to = _shard_of(_key(c, w), shards)
         order = np.argsort(to, kind="stable")
         edge = np.searchsorted(to[order], np.arange(shards + 1))
         rows: dict[str, list] = {k: [] for k in ("shard", "contexts", "lengths", "words", "small", "big", "docs")}
@@ -201,8 +201,12 @@ def _merge_shard(root: str, shards: int):
         key, context, word = key[first], context[order[first]], word[order[first]]
         bucket = np.searchsorted(key >> np.uint64(48), np.arange(_BUCKETS + 1, dtype=np.uint64)).astype("<u4")
         big = np.flatnonzero(n >= 255)
+        short = key >> np.uint64(16)
+        alike = np.append(False, short[1:] == short[:-1])
+        alike |= np.append(alike[1:], False)  # keys that the stored bits don't tell apart
         _write(f"{root}/bigrams-{shard:05d}", {
-            "bucket": bucket, "rest": (key >> np.uint64(16)).astype("<u4"), "small": np.minimum(n, 255).astype(np.uint8), "big_at": big.astype("<u4"), "big": n[big].astype("<i8"),
+            "bucket": bucket, "rest": short.astype("<u4"), "small": np.minimum(n, 255).astype(np.uint8), "big_at": big.astype("<u4"), "big": n[big].astype("<i8"),
+            "alike": key[alike], "alike_n": n[alike].astype("<i8"),
         })
         ones = np.ones_like(n)
         w, before = _merge([word], [ones])
@@ -357,7 +361,8 @@ class _Scorer:
 
     def bigram_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.zeros(len(word), np.int64)
-        key, to = _key(context, word), _shard_of(context, self.shards)
+        key = _key(context, word)
+        to = _shard_of(key, self.shards)
         order = np.lexsort((key, to))
         edge = np.searchsorted(to[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edge)).tolist():
@@ -379,6 +384,10 @@ class _Scorer:
             full = np.flatnonzero(n == 255)
             if len(full):
                 n[full] = table["big"][np.searchsorted(table["big_at"], place[full])]
+            if len(table["alike"]):
+                twin = np.minimum(np.searchsorted(table["alike"], wanted), len(table["alike"]) - 1)
+                own = table["alike"][twin] == wanted
+                n[own] = table["alike_n"][twin[own]]
             out[at] = n
         return out
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -392,3 +393,19 @@ def test_near_dedup_branches_and_links_families(spark):
     for sizes in ({"leaf": 48, "block": 16, "depth": 3}, {}):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs, **sizes).collect())
         assert sum((got & want).values()) >= (0.99 if sizes else 1) * len(rows)
+
+
+def test_bigrams_that_the_stored_bits_do_not_tell_apart(spark, monkeypatch):
+    """With keys that differ in few bits, many share the stored ones; counts are right all the same."""
+    whole = ngram_lm._key
+    monkeypatch.setattr(ngram_lm, "_key", lambda c, w: whole(c, w) & np.uint64(0xF0000000000FFFF))
+    root = WorkArea(spark, "alike").path("model")
+    c, w = np.repeat(np.arange(40, dtype=np.uint64), 40), np.tile(np.arange(40, dtype=np.uint64), 40)
+    n = np.arange(1, 1601)
+    rows = {"shard": [0], "contexts": [c.tobytes()], "lengths": [np.ones(1600, "<u4").tobytes()], "words": [w.tobytes()], "small": [ngram_lm._pack(n)[0]], "big": [ngram_lm._pack(n)[1]], "docs": [0]}
+    list(ngram_lm._merge_shard(root, 1)(iter([pa.RecordBatch.from_pydict(rows, schema=ngram_lm._BLOCKS)])))
+    scorer = object.__new__(ngram_lm._Scorer)
+    scorer.shards, scorer.bigrams = 1, [ngram_lm._map(f"{root}/bigrams-00000")]
+    key = ngram_lm._key(c, w)
+    alone = np.array([(key == k).sum() == 1 for k in key])
+    assert len(scorer.bigrams[0]["alike"]) > 100 and (scorer.bigram_counts(c, w) == n)[alone].all()
