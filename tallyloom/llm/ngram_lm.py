@@ -292,7 +292,7 @@ def train(docs: DataFrame, text_col: str = "text", area: WorkArea | None = None,
 
 
 def _per_shard(df: DataFrame, shards: int, merge, schema: str) -> DataFrame:
-    """Run ``merge`` on the blocks of each shard."""
+    """Run ``merge`` on the blocks of each shard, one task a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, group = None, []
@@ -307,7 +307,7 @@ def _per_shard(df: DataFrame, shards: int, merge, schema: str) -> DataFrame:
         if group:
             yield from merge(iter(group))
 
-    return df.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
