@@ -5,8 +5,10 @@ fitted on at most ``fit_rows`` labelled documents (the smallest hashes of the id
 posterior probabilities of the domains. (2) Every document has a rate, at first one. Its expected domain tokens are rate x
 tokens x posterior. Rates of zero or more minimize the squared distance of the corpus's expected domain totals from the
 targets, each relative to the domain's tokens now (so that a rare domain weighs as much as a common one), with a small
-pull of each rate towards one. At the minimum a rate is max(0, 1 - z . posterior) with one multiplier z for each domain, so the search is over
-as many numbers as domains: a damped Newton method, until the optimality condition holds within a tolerance. A document's posterior
+pull of each rate towards one. The search is a projected gradient: each step moves all rates down the gradient, by a length from the last
+step's change of the gradient, and raises negative ones to zero; a step after which the squared distance is above all of the last few is taken again
+with the length that always lowers it. It ends when a step moves rates by less than a tolerance. A rate's gradient follows from its document's posterior and
+the domains' gaps, so that a rate is a function of the posterior and the steps taken, which are as many numbers as domains each. A document's posterior
 enters rounded to 1/``GRID``; so documents are first summed by that rounded posterior into cells, which keep the exact tokens of each
 domain. Cells are bounded by the grid, not by the corpus (half a million for three domains). Each step is one scan of the cells, and
 nothing but sums over them reaches the driver. The totals reached and whether the search ended are in :class:`Fit`. (3) The whole part of a rate is a number of
@@ -21,6 +23,7 @@ the row of the smallest domain. Of rows with one labelled id the classifier read
 
 from __future__ import annotations
 
+import math
 import pickle
 import warnings
 from collections.abc import Callable, Iterator
@@ -153,7 +156,7 @@ def cells(soft: DataFrame, domains: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fit:
-    """Expected shares of the domains in all tokens: ``before``, ``targets`` and ``reached``; ``converged``: the optimality condition holds."""
+    """Expected shares of the domains in all tokens: ``before``, ``targets`` and ``reached``; ``converged``: the last step moved rates by less than the tolerance."""
 
     before: tuple[float, ...]
     targets: tuple[float, ...]
@@ -162,57 +165,78 @@ class Fit:
     scans: int
 
 
-def _rate(z: list[float], cell):
-    """The rate at a grid point; ``z``: the domains' multipliers."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(x)) * F.get(cell, F.lit(k)) / GRID for k, x in enumerate(z)), F.lit(0.0)))
+@dataclass(frozen=True)
+class Step:
+    """One step of the search: its length, and each domain's distance from its target before it, relative to the domain's tokens."""
+
+    length: float
+    gaps: tuple[float, ...]
+
+
+def _walk(own: np.ndarray, steps: list[Step], pull: float, rate: np.ndarray | None = None) -> np.ndarray:
+    """Rates of the posteriors ``own`` after the steps, from ``rate`` or one."""
+    rate = np.ones(len(own)) if rate is None else rate
+    for step in steps:
+        rate = np.maximum(0.0, rate - step.length * (own @ np.array(step.gaps) + pull * (rate - 1.0)))
+    return rate
 
 
-def _with_rates(soft: DataFrame, domains: int, z: list[float]) -> DataFrame:
-    """``soft`` with ``rate``: :func:`_rate` of each row's cell, by arrays."""
+def _with_rates(soft: DataFrame, domains: int, steps: list[Step], pull: float) -> DataFrame:
+    """``soft`` with ``rate``: :func:`_walk` of each row's cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p")
             own = np.trunc(p.flatten().to_numpy(zero_copy_only=False) * GRID + 0.5).reshape(len(p), domains) / GRID
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(0.0, 1.0 - own @ np.array(z)))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_walk(own, steps, pull))], names=[*batch.schema.names, "rate"])
 
     return soft.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in soft.schema) + ", rate double")
 
 
-def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float = 1e-3, most_scans: int = 80, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
-    """``soft`` with ``rate``, and the :class:`Fit`; ``wanted``: each domain's tokens as a multiple of its expected tokens; ``tolerance`` is relative to those."""
+def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float = 1e-3, most_scans: int = 400, tolerance: float = 1e-4, memory: int = 8) -> tuple[DataFrame, Fit]:
+    """``soft`` with ``rate``, and the :class:`Fit`; ``wanted``: each domain's tokens as a multiple of its expected tokens; ``tolerance``: how far the last step moves rates, in the mean over tokens."""
     n = len(wanted)
     grid = area.table(cells(soft, n), "cells")
-    pairs = [(k, j) for k in range(n) for j in range(n)]
-
-    def scan(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Tokens, and by domain the expected tokens and their derivatives by the multipliers, sign reversed."""
-        rate = _rate(z.tolist(), F.col("cell"))
-        slopes = (F.sum(F.when(rate > 0, F.col(f"e{k}") * F.get("cell", F.lit(j)) / GRID)).alias(f"h{k}_{j}") for k, j in pairs)
-        row = grid.agg(F.sum("t").alias("n"), *(F.sum(F.col(f"e{k}") * rate).alias(f"e{k}") for k in range(n)), *slopes).first()
-        value = lambda name: float(row[name] or 0)
-        return value("n") or 1.0, np.array([value(f"e{k}") for k in range(n)]), np.array([value(f"h{k}_{j}") for k, j in pairs]).reshape(n, n)
-
-    z = np.zeros(n)
-    total, now, slope = scan(z)
+    sums = ["n", "far", "moved", *(f"e{k}" for k in range(n))]
+
+    def scan(steps: list[Step]) -> tuple[float, np.ndarray, float, float]:
+        """Tokens, expected tokens by domain, and the squared distances of rates from one and from those before the last step, times tokens."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column("cell").flatten().to_numpy().reshape(len(batch), n) / GRID
+                t, e = batch.column("t").to_numpy(), [batch.column(f"e{k}").to_numpy() for k in range(n)]
+                last = _walk(own, steps[:-1], pull)
+                rate = _walk(own, steps[-1:], pull, last)
+                found = [t.sum(), t @ (rate - 1.0) ** 2, t @ (rate - last) ** 2, *(x @ rate for x in e)]
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in found], names=sums)
+
+        row = grid.mapInArrow(run, ", ".join(f"{x} double" for x in sums)).agg(*(F.sum(x).alias(x) for x in sums)).first()
+        total, far, moved, *e = (float(row[x] or 0) for x in sums)
+        return total or 1.0, np.array(e), far, moved
+
+    total, now, _, _ = scan([])
     before = now / total
     targets = np.array(wanted) * before
     base = np.where(before > 0, before, 1.0)
-    left = lambda at, e: pull * base * at + targets - e / total
-    gap, scans = left(z, now), 1
-    while (np.abs(gap) / base).max(initial=0) > tolerance and scans < most_scans:
-        move = -np.linalg.solve(slope / total + np.diag(pull * base), gap)
-        steep = abs(float(gap @ move))
-        while True:  # the objective is convex: a step that goes far beyond the minimum along its line is halved
-            total, e, h = scan(z + move)
-            scans += 1
-            new = left(z + move, e)
-            if float(new @ move) <= 0.25 * steep or scans >= most_scans:
-                break
-            move, steep = move / 2, steep / 2
-        z, now, slope, gap = z + move, e, h, new
-    converged = bool((np.abs(gap) / base).max(initial=0) <= tolerance)
-    return _with_rates(soft, n, z.tolist()), Fit(tuple(before.tolist()), tuple(targets.tolist()), tuple((now / total).tolist()), converged, scans)
+    height = lambda e, far: float(((e / total - targets) ** 2 / base).sum() + pull * far / total)
+    safe = 1.0 / (1.0 + pull)  # the gradient changes at most 1 + pull times as fast as the rates
+    steps: list[Step] = []
+    length, heights, scans, converged = safe, [height(now, 0.0)], 1, False
+    while not converged and scans < most_scans:
+        step = Step(length, tuple(((now / total - targets) / base).tolist()))
+        _, e, far, moved = scan([*steps, step])
+        scans += 1
+        if length > safe and height(e, far) > max(heights[-memory:]):
+            length = safe
+            continue
+        converged = math.sqrt(moved / total) <= tolerance * min(length, 1.0)
+        bend = (((e - now) / total) ** 2 / base).sum() + pull * moved / total
+        length = min(max(moved / total / bend, safe), 1.0 / pull) if bend > 0 else safe
+        steps.append(step)
+        heights.append(height(e, far))
+        now = e
+    return _with_rates(soft, n, steps, pull), Fit(tuple(before.tolist()), tuple(targets.tolist()), tuple((now / total).tolist()), converged, scans)
 
 
 def copies(rate, key):

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, queries, sharding, warc
@@ -47,6 +48,24 @@ def test_mixing_goes_on_to_the_optimum(spark):
     assert fit.converged and np.allclose(np.array(fit.reached) * tokens.sum(), (tokens * rate) @ p, rtol=1e-6)
 
 
+@pytest.mark.parametrize("wanted", [[0.0, 1.0, 1.0], [2.0, 0.5, 1.0], [1.0, 1.0, 5.0]])
+def test_mixing_equals_a_long_plain_descent(spark, wanted):
+    """One domain has no tokens at all: its target moves nothing."""
+    rng = np.random.default_rng(5)
+    p = np.column_stack([rng.dirichlet([0.4, 0.8], 500), np.zeros(500)])
+    tokens = rng.integers(0, 300, 500)
+    soft = spark.createDataFrame([(k, k, int(n), x.tolist()) for k, (n, x) in enumerate(zip(tokens, p, strict=True))], "id long, key long, tokens long, p array<double>")
+    rated, fit = mixing.fit_rates(soft, wanted, WorkArea(spark, "descent"))
+    got = {r.id: r.rate for r in rated.collect()}
+    w, rate = tokens / tokens.sum(), np.ones(500)
+    base = np.maximum(w @ p, 1e-9)
+    for _ in range(60000):
+        rate = np.maximum(0, rate - 0.9 * (p @ (((w * rate) @ p - (w @ p) * wanted) / base) + 1e-3 * (rate - 1)))
+    assert fit.converged and fit.scans < 200
+    assert (np.abs(np.array(fit.reached) - (w * rate) @ p) / base).max() < 2e-3  # of the domain's tokens, as the search weighs them
+    assert np.sqrt(w @ (np.array([got[k] for k in range(500)]) - rate) ** 2) < 0.05
+
+
 def test_warc_revisits_of_a_page_with_two_payloads(spark):
     rows = [(1, "u", "one"), (1, "u", "another"), (2, "u", "one"), (3, "u", "another")]
     area = WorkArea(spark, "warc-two")
