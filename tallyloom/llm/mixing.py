@@ -6,7 +6,7 @@ posterior probabilities of the domains. (2) Every document has a rate, at first
 tokens x posterior. Rates of zero or more minimize the squared distance of the corpus's expected domain totals from the
 targets, each relative to the domain's tokens now (so that a rare domain weighs as much as a common one), with a small
 pull of each rate towards one. The search is a projected gradient: each step moves all rates down the gradient, by a length from the last
-step's change of the gradient, and raises negative ones to zero; a step after which the squared distance is above all of the last few is taken again
+step's change of the gradient, and raises negative ones to zero; a step after which the squared distance is over a hundredth above all of the last few is taken again
 with the length that always lowers it. It ends when a step moves rates by less than a tolerance. A rate's gradient follows from its document's posterior and
 the domains' gaps, so that a rate is a function of the posterior and the steps taken, which are as many numbers as domains each. A document's posterior
 enters rounded to 1/``GRID``; so documents are first summed by that rounded posterior into cells, which keep the exact tokens of each
@@ -227,7 +227,7 @@ def fit_rates(soft: DataFrame, wanted: list[float], area: WorkArea, pull: float
         step = Step(length, tuple(((now / total - targets) / base).tolist()))
         _, e, far, moved = scan([*steps, step])
         scans += 1
-        if length > safe and height(e, far) > max(heights[-memory:]):
+        if length > safe and height(e, far) > 1.01 * max(heights[-memory:]):
             length = safe
             continue
         converged = math.sqrt(moved / total) <= tolerance * min(length, 1.0)
