@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import duplicates
+from tallyloom.operators import duplicates, ledger
+from tallyloom.plans import queries
 
 TX = "id string, txn_date date, ord long, currency string, amount_original double, merchant string"
 NAN, INF = float("nan"), float("inf")
@@ -58,3 +59,33 @@ def test_judge_is_asked_once_for_two_kinds(spark, tmp_path):
     assert found.where("duplicate_of is not null").count() + found.select("duplicate_of").distinct().count() == 90_000
     with open(log) as f:
         assert len(f.read().split("\n")) <= 2 * 9 + 1  # two runs
+
+
+#: All pairs, as the SQL of duplicate_candidates said before it read classes.
+PAIRS_SQL = f"""SELECT a.id AS id_a, b.id AS id_b, a.amount_original = b.amount_original AS exact FROM tx a JOIN tx b ON a.currency = b.currency
+    AND (a.txn_date, a.ord) < (b.txn_date, b.ord) AND b.txn_date - a.txn_date <= {ledger.DAYS}
+    AND (a.amount_original = b.amount_original OR (a.amount_original <> 0 AND abs(a.amount_original - b.amount_original) / abs(a.amount_original) <= {ledger.TOLERANCE}))"""
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_candidate_classes_are_all_pairs(spark, tmp_path, copies):
+    """The query's pairs, expanded by its members, are the pairs of the SQL over all rows; copies don't add pairs between classes."""
+    import duckdb
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    more = events.crossJoin(spark.range(copies).withColumnRenamed("id", "k")).withColumn("event_id", F.expr("event_id + 1000 * k")).drop("k")
+    more.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ALL_SQL + PAIRS_SQL).fetchall())
+    found = queries.QUERIES["duplicate_candidates"](spark, str(tmp_path)).collect()
+    place = {r.id: (r.txn_date, r.ord) for r in queries.transactions(spark, str(tmp_path)).collect()}
+    members = {}
+    for r in found:
+        if r.kind == "member":
+            members.setdefault(r.id_a, []).append(r.id_b)
+    assert sorted(i for own in members.values() for i in own) == sorted(place)
+    pairs = [r for r in found if r.kind == "pair"]
+    assert sorted((a, b, r.exact) for r in pairs for a in members[r.id_a] for b in members[r.id_b] if place[a] < place[b]) == want
+    assert sorted(map(tuple, duplicates.candidates(queries.transactions(spark, str(tmp_path))).collect())) == want
+    assert copies == 1 or len(pairs) < len(want) / 4
