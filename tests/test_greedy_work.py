@@ -15,7 +15,7 @@ from tallyloom.plans import queries
 SMALL = "/root/testdata/sf0.001"
 #: Scans of events in the plan: one of the rows, four of classes and islands, two of suspicion's typical amounts and usual currencies; rates and decided rows are more.
 SCANS = {
-    "apply_decisions": 6,
+    "apply_decisions": 6, "duplicate_entries": 5,
 }
 
 
@@ -55,6 +55,8 @@ def test_mark_keeps_all_rows_and_the_anchors_amount(spark, seed):
         want = found.get(r.id)
         assert (r.duplicate_of, r.in_doubt, r.doubt_reason) == ((want.duplicate_of, want.needs_review, want.review_reason) if want else (None, False, None))
         assert repr(r.duplicate_amount) == (amount[r.duplicate_of] if r.duplicate_of else "None")  # with its sign: 0.0 and -0.0 are one class
+    entries = sorted((r.member, r.id, repr(r.amount_original)) for r in duplicates.marked_entries(marked).collect())
+    assert entries == sorted((r.member, r.id, repr(r.amount_original)) for r in duplicates.entries(tx, duplicates.greedy(tx)).select("member", "id", "amount_original").collect())
 
 
 @pytest.mark.parametrize("seed", range(3))
