@@ -15,7 +15,7 @@ from tallyloom.plans import queries
 SMALL = "/root/testdata/sf0.001"
 #: Scans of events in the plan: one of the rows, four of classes and islands, two of suspicion's typical amounts and usual currencies; rates and decided rows are more.
 SCANS = {
-    "apply_decisions": 6, "duplicate_entries": 5, "merged_flags": 7, "report_headline": 7, "report_text": 9, "review_queue": 7, "view_clean": 7, "view_needs_review": 7,
+    "apply_decisions": 6, "duplicate_entries": 5, "merged_flags": 7, "report_headline": 7, "report_text": 9, "review_queue": 7, "view_clean": 7, "view_needs_review": 7, "view_suspicious": 7,
 }
 
 
