@@ -91,3 +91,53 @@ def test_suspicious_is_a_plain_loop(spark, seed):
         return "Unexpected currency for the account" if usual is not None and r["currency"] != usual else None
 
     assert {r.id: r.suspicious_reason for r in ledger.suspicious(tx).collect()} == {r["id"]: reason(r) for r in all_}
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_headline_scans_once_for_classes_and_moves_rows_by_account_alone(spark):
+    """Before, classes were computed anew for days, for amounts and for themselves, and all rows were moved to their classes to be counted."""
+    plan = final_plan(queries.QUERIES["report_headline_greedy"](spark, SMALL))
+    assert plan.count("FileScan parquet") == 4 and "_found" not in plan  # rows, classes, typical amounts, usual currencies
+
+
+MOVED = ["merged_flags", "review_queue", "view_clean", "view_needs_review", "view_suspicious"]
+
+
+@pytest.mark.parametrize("name", MOVED)
+def test_rows_meet_classes_by_their_hash(spark, name):
+    """Before, they were dealt and sorted by all columns of a class, null or not."""
+    plan = final_plan(queries.QUERIES[f"{name}_greedy"](spark, SMALL))
+    assert plan.count("FileScan parquet") <= 4
+    assert re.search(r"Join \[_class#\d+L\], \[_found#\d+L\], LeftOuter", plan)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_by_numbers_alone_are_the_same(spark, seed):
+    """``id_of`` changes nothing where ids are numbers: neither anchors, nor the sign of an anchor's zero, nor the totals."""
+    own = [(str(r[2]), *r[1:], r[2] % 3 == 0) for r in rows(seed)]
+    tx = spark.createDataFrame(own, TX + ", needs_review boolean")
+    told = lambda df: sorted(tuple(repr(x) for x in r) for r in df.collect())
+    plain = duplicates.mark(tx)
+    assert told(plain) == told(duplicates.mark(tx, id_of="cast(ord as string)"))
+    marked = plain.collect()
+    want = (sum(r.duplicate_of is not None for r in marked), sum(r.in_doubt and not r.needs_review for r in marked))
+    assert want[0]
+    for id_of in (None, "cast(ord as string)"):
+        assert [tuple(r) for r in duplicates.totals(tx, id_of=id_of).collect()] == [want]
+
+
+def test_totals_without_rows_are_zero(spark):
+    tx = spark.createDataFrame([], TX + ", needs_review boolean")
+    assert [tuple(r) for r in duplicates.totals(tx, id_of="cast(ord as string)").collect()] == [(0, 0)]
+
+
+def test_own_judge_reads_ids(spark):
+    """By default it may read ids, so a row is a class of its own, whatever ``id_of`` says."""
+    tx = spark.createDataFrame([(str(r[2]), *r[1:]) for r in rows(0, 40)], TX)
+    judge = lambda a, b: (int(a["id"]) % 2 == int(b["id"]) % 2, "low")
+    told = lambda df: sorted(tuple(repr(x) for x in r) for r in df.collect())
+    assert told(duplicates.mark(tx, judge)) == told(duplicates.mark(tx, judge, id_of="cast(ord as string)"))
