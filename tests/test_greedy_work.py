@@ -8,6 +8,7 @@ import re
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import duplicates, ledger
 from tallyloom.plans import queries
@@ -179,7 +180,11 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-OLD = {"review_queue": ledger.review_queue}
+def view(flag):
+    return lambda merged: ledger.display(ledger.choose(merged, flag=flag))
+
+
+OLD = {"review_queue": ledger.review_queue, "view_clean": view("Clean")}
 
 
 @pytest.mark.parametrize("name", OLD)
@@ -192,3 +197,26 @@ def test_shorter_ways_tell_what_merged_greedy_tells(spark, odd, name):
     want = OLD[name](merged)
     assert got.schema.names == want.schema.names and got.dtypes == want.dtypes
     assert told(got) == told(want)
+
+
+@pytest.mark.parametrize("name", ["view_clean"])
+def test_views_move_numbers(spark, name):
+    """Before, names of accounts were moved and compared, typical amounts read all rows again, and rows were sorted for their classes."""
+    plan = final_plan(queries.QUERIES[f"{name}_greedy"](spark, SMALL))
+    assert plan.count("FileScan parquet") <= 3  # rows, classes, usual currencies
+    assert "SortMergeJoin [_class" not in plan and plan.count("ACCT-") == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suspicious_among_some(spark, seed):
+    """Of wanted rows it says the same, whether amounts are counted before and columns computed again or not. A category is told by the merchant."""
+    tx = spark.createDataFrame([r for r in rows(seed) if r[4] is None or r[4] == r[4]], TX)
+    category = F.when(F.col("merchant") == "shop one", "Shopping").when(F.col("merchant") == "shop two", "Salary")
+    tx = tx.withColumn("category", category)
+    told = lambda df: sorted(tuple(repr(x) for x in r) for r in df.collect())
+    counted = tx.groupBy("category", "currency", "amount_original", "txn_date").agg(F.count(F.lit(1)).alias("n"))
+    among = ~F.coalesce(F.col("category").isin(*ledger.ROUTINE), F.lit(False))
+    want = told(ledger.suspicious(tx).where(among))
+    assert any("None" not in r[-1] for r in want)
+    assert told(ledger.suspicious(tx, among)) == want
+    assert told(ledger.suspicious(tx, among, counted, {"category": category})) == want
