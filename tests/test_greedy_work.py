@@ -184,7 +184,7 @@ def view(flag):
     return lambda merged: ledger.display(ledger.choose(merged, flag=flag))
 
 
-OLD = {"review_queue": ledger.review_queue, "view_clean": view("Clean"), "view_needs_review": view("Needs Review")}
+OLD = {"review_queue": ledger.review_queue, "view_clean": view("Clean"), "view_needs_review": view("Needs Review"), "view_suspicious": view("Suspicious")}
 
 
 @pytest.mark.parametrize("name", OLD)
@@ -199,7 +199,7 @@ def test_shorter_ways_tell_what_merged_greedy_tells(spark, odd, name):
     assert told(got) == told(want)
 
 
-@pytest.mark.parametrize("name", ["view_clean", "view_needs_review"])
+@pytest.mark.parametrize("name", ["view_clean", "view_needs_review", "view_suspicious"])
 def test_views_move_numbers(spark, name):
     """Before, names of accounts were moved and compared, typical amounts read all rows again, and rows were sorted for their classes."""
     plan = final_plan(queries.QUERIES[f"{name}_greedy"](spark, SMALL))
